@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, lookalike, packing, quantiles, similar
+from quern.llm import bpe, lookalike, markup, packing, quantiles, similar
 from quern.tables import table
 
 
@@ -56,6 +56,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = None
+    for name, key in (("item", "id"), ("hnitem", "seq")):
+        found = markup.marked_up(table(spark, d, name, key, "text"), key, "text").select(F.lit(name).alias("src"), F.col(key).alias("id"))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every item, once, and of every delivery."""
+    item = markup.clean_column(table(spark, d, "item", "id", "text"), "id", "text").groupBy("id").agg(F.min("text").alias("text"))
+    feed = markup.clean_column(table(spark, d, "hnitem", "seq", "text"), "seq", "text").select(F.col("seq").alias("id"), "text")
+    return item.select(F.lit("item").alias("src"), "id", "text").unionByName(feed.select(F.lit("hnitem").alias("src"), "id", "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
@@ -75,7 +90,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_column(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_months, p1_within_bound, p5_found, p8_ids, p9_packed, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_months, p1_within_bound, p5_found, p7_found, p7_clean, p8_ids, p9_packed, p10_found, p10_forms)}
 
 _VALUES = """
 WITH v AS (SELECT 'perquery' AS src, engine AS name, param, latence_ms AS v FROM perquery
