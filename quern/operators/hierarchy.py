@@ -23,8 +23,11 @@ chained in hash buckets whose number follows the number of nodes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +39,14 @@ CORE_PART = 1 / 64
 LEAST_SHRINK = 0.1
 #: Expected siblings per chained bucket of the largest possible group.
 BUCKET_ROWS = 200_000
+#: Lists of up to so many elements (a few ten MB) are ranked by one task; longer ones by joins.
+LOCAL_ELEMENTS = 500_000
 
 
 @dataclass
 class _Run:
     scratch: Scratch
+    local: int = LOCAL_ELEMENTS
     nodes: int = 0
     buckets: int = 1
 
@@ -124,6 +130,29 @@ def euler_tour(core: DataFrame, run: _Run) -> DataFrame:
     return rows.withColumn("tail", F.when(F.col("nxt").isNull(), F.col("e")))
 
 
+def _rank_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same jumps over arrays, for lists whose length was checked."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    e, pos, dep = (t[c].to_numpy().copy() for c in ("e", "pos", "dep"))
+    order = np.argsort(e)
+    has = ~np.asarray(t["nxt"].is_null())
+    to = np.full(len(e), -1, dtype=np.int64)
+    to[has] = order[np.searchsorted(e[order], t["nxt"].drop_null().to_numpy())]
+    tail = e.copy()
+    for _ in range(len(e).bit_length()):
+        some = np.flatnonzero(to >= 0)
+        if not len(some):
+            break
+        ahead = to[some]
+        pos[some], dep[some], tail[some], to[some] = pos[some] + pos[ahead], dep[some] + dep[ahead], tail[ahead], to[ahead]
+    open_ = to >= 0
+    columns = [pa.array(e), pa.array(e[to], mask=~open_), pa.array(pos), pa.array(dep), pa.array(tail, mask=open_)]
+    yield from pa.table(columns, names=["e", "nxt", "pos", "dep", "tail"]).to_batches(100_000)
+
+
 def rank_lists(rows: DataFrame, run: _Run) -> DataFrame:
     """Pointer jumping: ``pos`` and ``dep`` become sums up to the list's end and ``tail`` its last element.
 
@@ -133,6 +162,8 @@ def rank_lists(rows: DataFrame, run: _Run) -> DataFrame:
     rows, seen = _counted(rows, open=F.col("nxt").isNotNull(), all=F.lit(1))
     rows = run.scratch.save(rows, "rank0")
     left, r, rounds = seen.get["open"], 0, max(1, seen.get["all"]).bit_length()
+    if seen.get["all"] <= run.local:
+        return rows.coalesce(1).mapInArrow(_rank_here, "e bigint, nxt bigint, pos bigint, dep bigint, tail bigint")
     while left and r < rounds:
         ahead = rows.select(F.col("e").alias("q_e"), F.col("nxt").alias("q_nxt"), F.col("pos").alias("q_pos"), F.col("dep").alias("q_dep"), F.col("tail").alias("q_tail"))
         moved = rows.where(F.col("nxt").isNotNull()).join(ahead, F.col("nxt") == F.col("q_e"))
@@ -161,15 +192,16 @@ def _core_result(core: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.select("id", "tree_id", "level", "entry", "exit", ending.alias("ending"))
 
 
-def build_trees(df: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+def build_trees(df: DataFrame, key: str = "id", parent: str = "parent", local: int = LOCAL_ELEMENTS) -> DataFrame:
     """(id, parent, tree_id, level, entry, exit, size, ending) of every id.
 
     ``ending``: 'root' if following the parents reaches a node without one, 'missing' if it
     reaches an id that is not in the table, 'cycle' if it runs into a circle. ``tree_id`` is the
     topmost node and ``level`` the steps to it; on the way into a circle both are null, as are
-    entry and exit. ``size`` is the number of nodes of the subtree, null on a circle.
+    entry and exit. ``size`` is the number of nodes of the subtree, null on a circle. ``local``: list
+    elements up to which one task ranks the tours.
     """
-    run = _Run(Scratch(df.sparkSession, "hierarchy"))
+    run = _Run(Scratch(df.sparkSession, "hierarchy"), local)
     nodes = tree_nodes(df, key, parent)
     layers, core = _peel(nodes, run)
     ranked = rank_lists(euler_tour(core, run), run)
