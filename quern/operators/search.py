@@ -88,15 +88,16 @@ def block_search(base: DataFrame, queries: DataFrame, dim: int, k: int, score: S
     rows, columns = -(-n // QUERY_ROWS), max(1, -(-base.count() // BASE_ROWS))
     hashed = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    q = queries.withColumn("q_row", hashed(rows)).withColumn("q_col", every(columns))
-    b = base.withColumn("q_col", hashed(columns)).withColumn("q_row", every(rows))
+    # names of their own: both sides may come from one table
+    q = queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"), hashed(rows).alias("q_row")).withColumn("q_col", every(columns))
+    b = base.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_vector"), hashed(columns).alias("b_col")).withColumn("b_row", every(rows))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _HITS.empty_table()
-        return pa.Table.from_batches([_rows(_best(left["vec_id"].to_numpy(), kernels.matrix(left["embedding"], dim), right["vec_id"].to_numpy(), kernels.matrix(right["embedding"], dim), k, score, root))])
+        return pa.Table.from_batches([_rows(_best(left["qid"].to_numpy(), kernels.matrix(left["q_vector"], dim), right["b_id"].to_numpy(), kernels.matrix(right["b_vector"], dim), k, score, root))])
 
-    return q.groupBy("q_row", "q_col").cogroup(b.groupBy("q_row", "q_col")).applyInArrow(cell, _KIND)
+    return q.groupBy("q_row", "q_col").cogroup(b.groupBy("b_row", "b_col")).applyInArrow(cell, _KIND)
 
 
 def ranked(hits: DataFrame, k: int, by: str = "d2") -> DataFrame:

@@ -187,7 +187,7 @@ def test_settings_tables():
     for bad in ("", "a", "0"):
         with pytest.raises(ValueError):
             settings.parse_ints(bad, 1)
-    assert settings.verdict_overlap(0.9, 0) and not settings.verdict_overlap(0.95, 1) and settings.verdict_hybrid(0.5, 0.504, 10, 9) and settings.verdict_insert([1.0], [0.99])
+    assert settings.verdict_overlap(0.9, 0) and not settings.verdict_overlap(0.95, 1) and settings.verdict_hybrid(0.5, 0.504, 10, 9) and settings.verdict_insert([1.0], [0.995])
 
 
 def test_metrics():

@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -157,8 +158,12 @@ def test_id_feed_goes_on_where_it_ended(spark, rows, tmp_path):
 
     spark.dataSource.register(ingest.feed_source(max_id, fetch, per_batch=2))
     for _ in range(2):
-        q = spark.readStream.format("idfeed").load().writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).start()
-        q.processAllAvailable()
+        q = spark.readStream.format("idfeed").load().writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").start()
+        want = int(newest.read_text())
+        for _ in range(100):
+            time.sleep(0.1)
+            if q.exception() or ((tmp_path / "o").exists() and spark.read.schema(ingest.FEED).parquet(str(tmp_path / "o")).where(F.col("id") == want).count()):
+                break
         q.stop()
         newest.write_text("5")
     assert rows(spark.read.parquet(str(tmp_path / "o")), "id") == [(1,), (3,), (4,), (5,)]
@@ -177,7 +182,7 @@ def test_token_bucket(spark, rows, tmp_path):
     assert ratelimit.take(0.5, 0, 0.4, 1, 5) == (False, 0.9) and ratelimit.take(5, 0, 100, 1, 5) == (True, 4)
     src = spark.createDataFrame([("a", float(t)) for t in (0, 0, 0, 0, 0, 0, 2)] + [("b", 0.0), (None, 1.0)], "ip string, ts double")
     src.coalesce(1).write.parquet(str(tmp_path / "e"))
-    q = ratelimit.limited(spark.readStream.schema(src.schema).parquet(str(tmp_path / "e")), "ip", "ts").writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
+    q = ratelimit.limited(spark.readStream.schema(src.schema).parquet(str(tmp_path / "e")), "ip", "ts").writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     assert rows(spark.table("limited").groupBy("ip").agg(F.count_if("allowed").alias("n")), "ip", "n") == [("a", 6), ("b", 1)]
