@@ -34,7 +34,7 @@ def _first(base: DataFrame) -> DataFrame:
 
 
 def _against_first(base: DataFrame) -> DataFrame:
-    return base.join(F.broadcast(_first(base)), F.lit(True))
+    return base.withColumn("q_v", _first(base).scalar())
 
 
 def dim_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +151,8 @@ def hamming_distance(spark: SparkSession, d: str) -> DataFrame:
 
     words = F.array(*[word(w) for w in range(4)])
     v = _vectors(spark, d).select("vec_id", words.alias("code"))
-    first = F.broadcast(v.orderBy("vec_id").limit(1).select(F.col("code").alias("q_code")))
-    return v.join(first, F.lit(True)).select("vec_id", V.hamming(F.col("code"), F.col("q_code")).alias("bits"))
+    first = v.orderBy("vec_id").limit(1).select("code").scalar()
+    return v.withColumn("q_code", first).select("vec_id", V.hamming(F.col("code"), F.col("q_code")).alias("bits"))
 
 
 def centroid(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ def medoid(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     c = v.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     c = c.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("q_c"))
-    near = v.join(F.broadcast(c), F.lit(True)).select("vec_id", F.round(V.l2_squared(F.col("embedding"), F.col("q_c")), 9).alias("d2"))
+    near = v.withColumn("q_c", c.scalar()).select("vec_id", F.round(V.l2_squared(F.col("embedding"), F.col("q_c")), 9).alias("d2"))
     return near.orderBy("d2", "vec_id").limit(1)
 
 

@@ -27,8 +27,7 @@ def bulk_items(spark: SparkSession, d: str) -> DataFrame:
 
 def item_lookup(spark: SparkSession, d: str) -> DataFrame:
     it = table(spark, d, "item", "id", "type", "title", "parent")
-    first = F.broadcast(it.agg(F.min("id").alias("q_id")))
-    return it.join(first, F.col("id") == F.col("q_id")).drop("q_id").distinct()
+    return it.where(F.col("id") == it.agg(F.min("id")).scalar()).distinct()
 
 
 def last_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +125,7 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
     it = table(spark, d, "item", "id", "ts", "root_id", "depth", "orphan")
     one = it.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.countDistinct(F.when(F.col("orphan") == 0, F.col("root_id"))).alias("n_threads"), F.count_if(F.col("orphan") == 1).alias("n_orphans"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
-    return one.join(table(spark, d, "pending", "id").agg(F.count("*").alias("n_pending")), F.lit(True))
+    return one.withColumn("n_pending", table(spark, d, "pending", "id").agg(F.count("*")).scalar())
 
 
 def freshness(spark: SparkSession, d: str) -> DataFrame:
@@ -195,8 +194,8 @@ def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
 def scope_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Part of all documents that the lexical stage leaves for reordering, per query."""
     cand = _bm25(spark, d, 50).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_candidates"))
-    total = table(spark, d, "documents", "doc_id").agg(F.count("*").alias("q_n"))
-    return cand.join(F.broadcast(total), F.lit(True)).select("qid", "n_candidates", F.round(F.col("n_candidates") / F.col("q_n"), 9).alias("ratio"))
+    total = table(spark, d, "documents", "doc_id").agg(F.count("*")).scalar()
+    return cand.select("qid", "n_candidates", F.round(F.col("n_candidates") / total, 9).alias("ratio"))
 
 
 # --- text -------------------------------------------------------------------------------------
