@@ -148,3 +148,20 @@ def walk(x: np.ndarray, nbrs: list[np.ndarray], q: np.ndarray, entry: int, width
                 if len(best) > width:
                     heapq.heappop(best)
     return sorted((-a, -b) for a, b in best), done
+
+
+def code_table(q: np.ndarray) -> np.ndarray:
+    """Of a centred query: for each byte of a packed code its 256 possible sums of signed elements."""
+    bits = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1) * 2.0 - 1.0
+    return q.reshape(-1, 8) @ bits.T
+
+
+def pack_bits(signs_: np.ndarray) -> np.ndarray:
+    """Eight signs a byte, the first in the lowest bit."""
+    return np.packbits(signs_ > 0, axis=1, bitorder="little")
+
+
+def estimate_table(q: np.ndarray, packed: np.ndarray, sq: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    """estimate_bits for one query by table look-ups instead of products."""
+    dots = code_table(q)[np.arange(packed.shape[1])[None, :], packed].sum(axis=1)
+    return np.where(l1 == 0, sq, (q * q).sum() + sq - 2.0 * sq * dots / np.where(l1 == 0, 1.0, l1))

@@ -105,3 +105,36 @@ def preview(page: str) -> dict[str, str]:
         out["title"] = html.unescape(m[1]).strip()
     out["description"] = out["description"] or plain
     return out
+
+
+def parse_short_date(s: Column) -> Column:
+    """The day that ``short_date`` wrote, null where it is none."""
+    return F.try_to_timestamp(F.nullif(s, F.lit("")), F.lit("d MMM yyyy")).cast("date")
+
+
+def item_url(key: Column, base: str) -> Column:
+    return F.concat(F.lit(base), key.cast("string"))
+
+
+def id_to_bytes(key: Column) -> Column:
+    """Eight bytes, the lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(key, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)]))
+
+
+def bytes_to_id(raw: Column) -> Column:
+    """The whole number of eight bytes, the lowest first; null for other lengths."""
+    out = F.lit(0).cast("long")
+    for i in range(8):
+        byte = F.conv(F.hex(F.substring(raw, i + 1, 1)), 16, 10).cast("long")
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * i))
+    return F.when(F.octet_length(raw) == 8, out)
+
+
+#: Letters with marks that ``fold`` writes without, each beside its plain letter.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžά έήίόύώ".replace(" ", "")
+UNMARKED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzαεηιουω"
+
+
+def fold(s: Column) -> Column:
+    """Lower case without the marks of common letters."""
+    return F.translate(F.lower(s), MARKED, UNMARKED)

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.storage import Scratch
+
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float], rule: str = "linear") -> DataFrame:
     """(*keys, n, *ps): ``ps`` maps column names to fractions from 0 to 1."""
@@ -48,3 +50,21 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[s
         aggs += [F.max(F.when(has(low), F.col("q_v"))).alias(f"q_lo_{name}"), F.max(F.when(has(high), F.col("q_v"))).alias(f"q_hi_{name}"), F.max(at - low).alias(f"q_w_{name}")]
     out = near.groupBy(*keys, "n").agg(*aggs)
     return out.select(*keys, "n", *[(F.col(f"q_lo_{m}") + (F.col(f"q_hi_{m}") - F.col(f"q_lo_{m}")) * F.col(f"q_w_{m}")).alias(m) if rule == "linear" else F.col(f"q_lo_{m}").alias(m) for m in ps])
+
+
+def ordered_places(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """(key, place): the place of every row in the order of ``key``, from 0, without one task for all rows.
+
+    Rows are range-partitioned; the counts of the ranges, one per partition, give each range its
+    first place. Equal keys are numbered in any order.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark, "places")
+    ranged = scratch.save(df.select(key).repartitionByRange(n, key).withColumn("q_p", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("q_p").agg(F.count("*").alias("q_n"))
+    before = Window.orderBy("q_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.col("q_p").alias("q_fp"), F.coalesce(F.sum("q_n").over(before), F.lit(0)).alias("q_first"))
+    inside = F.row_number().over(Window.partitionBy("q_p").orderBy(key))
+    rows = ranged.withColumn("q_in", inside - 1).join(F.broadcast(first), F.col("q_p") == F.col("q_fp"))
+    return rows.select(key, (F.col("q_first") + F.col("q_in")).alias("place"))

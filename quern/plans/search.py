@@ -128,6 +128,16 @@ def rabitq_estimate(spark: SparkSession, d: str) -> DataFrame:
     return _estimate(spark, d, lambda q, c: kernels.estimate_bits(q, *kernels.encode_bits(c, np.zeros(DIM))))
 
 
+def lut_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """The same estimates by look-up tables over packed codes."""
+
+    def how(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        code, sq, l1 = kernels.encode_bits(c, np.zeros(DIM))
+        return kernels.estimate_table(q[0], kernels.pack_bits(code), sq, l1)[None, :]
+
+    return _estimate(spark, d, how)
+
+
 def sq_estimate(spark: SparkSession, d: str) -> DataFrame:
     return _estimate(spark, d, lambda q, c: kernels.estimate_levels(q, *kernels.encode_levels(c, 4), (c * c).sum(axis=1), 4))
 
@@ -239,6 +249,45 @@ def federated_merge(spark: SparkSession, d: str) -> DataFrame:
     return S.federated(found, K)
 
 
+def dense_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Every shard is asked for k hits and only then is the query itself dropped, so fewer than k may be left."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    q = _queries(S.valid(e, "vec_id", "embedding", DIM))
+    me = q.select(F.col("vec_id").alias("qid"), "vec_id", F.lit(0.0).alias("d2"))
+    found = None
+    for s in range(3):
+        held = S.valid(e.where(F.col("label") % 3 == s), "vec_id", "embedding", DIM)
+        hits = S.exact_knn(held, q, DIM, K).select("qid", "vec_id", "d2").unionByName(me.join(held.select("vec_id"), "vec_id", "left_semi").select("qid", "vec_id", "d2"))
+        rows = hits.select("qid", F.lit(s).alias("shard"), "vec_id", "d2")
+        found = rows if found is None else found.unionByName(rows)
+    return S.ranked(S.per_shard(found, K).where(F.col("qid") != F.col("vec_id")), K)
+
+
+def shard_split(spark: SparkSession, d: str) -> DataFrame:
+    """Four shards of n // 4 rows in order of id; the remainder is left out. (shard, n_rows, min_id, max_id)"""
+    from quern.operators.percentile import ordered_places
+
+    v = ordered_places(table(spark, d, "embeddings", "vec_id"), "vec_id")
+    each = F.floor(v_count(spark, d) / 4)
+    rows = v.withColumn("shard", F.floor(F.col("place") / each).cast("int")).where(F.col("shard") < 4)
+    return rows.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("vec_id").alias("min_id"), F.max("vec_id").alias("max_id"))
+
+
+def v_count(spark: SparkSession, d: str):
+    return F.lit(table(spark, d, "embeddings", "vec_id").count())
+
+
+def overlap_at_k(spark: SparkSession, d: str) -> DataFrame:
+    """Common ids of approximate and exact search per min(k, n)."""
+    base = _vectors(spark, d)
+    q = _queries(base)
+    want = S.exact_knn(base, q, DIM, K).groupBy("qid").agg(F.collect_set("vec_id").alias("w"))
+    got = S.two_stage_knn(base, q, DIM, K, 64).groupBy(F.col("qid").alias("q_q")).agg(F.collect_set("vec_id").alias("g"))
+    both = want.join(got, F.col("qid") == F.col("q_q"), "left")
+    n = F.least(F.lit(K), F.size("w"))
+    return both.select("qid", F.round(F.coalesce(F.size(F.array_intersect("w", "g")), F.lit(0)) / n, 6).alias("overlap"))
+
+
 def _recalls(spark: SparkSession, d: str) -> DataFrame:
     base = _vectors(spark, d)
     q = _queries(base)
@@ -275,7 +324,7 @@ def bitbudget_recall(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dim_profile, holdout_split, l2_distance, l2_squared, normalize, mrl_truncate, pattern_vectors, fp16_roundtrip, hadamard_rotate, rabitq_encode, rabitq_estimate, sq_encode_b, sq_estimate, ext_estimate, hamming_distance, centroid, medoid, exact_knn, exact_knn_heap, two_stage_knn, two_tier_knn, knn_graph, graph_search, robust_prune, federated_merge, recall_at_k, recall_summary, bitbudget_recall)
+    for f in (dim_profile, holdout_split, l2_distance, l2_squared, normalize, mrl_truncate, pattern_vectors, fp16_roundtrip, hadamard_rotate, rabitq_encode, rabitq_estimate, lut_estimate, sq_encode_b, sq_estimate, ext_estimate, hamming_distance, centroid, medoid, exact_knn, exact_knn_heap, two_stage_knn, two_tier_knn, knn_graph, graph_search, robust_prune, federated_merge, dense_shards, shard_split, overlap_at_k, recall_at_k, recall_summary, bitbudget_recall)
 }
 
 _E = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -332,6 +381,7 @@ ORACLE = {
     "hadamard_rotate": _E + _ROT + " SELECT vec_id, round(r[1], 9) AS c0, round(r[2], 9) AS c1, round(r[64], 9) AS c63, round(list_sum(list_transform(r, lambda y: abs(y))), 6) AS l1 FROM rot",
     "rabitq_encode": _E + _ROT + _CEN + " SELECT vec_id, array_to_string(list_transform(x, lambda y: CASE WHEN y >= 0 THEN '1' ELSE '0' END), '') AS code, round(sq, 6) AS sq_norm, round(l1, 6) AS l1 FROM code",
     "rabitq_estimate": _E + _ROT + _CEN + _FX + f" SELECT vec_id, round(CASE WHEN l1 = 0 THEN sq ELSE fsq + sq - 2 * sq * {_DOT.format(a='fx', b=_BITS)} / l1 END, 6) AS est FROM code, f",
+    "lut_estimate": _E + _ROT + _CEN + _FX + f" SELECT vec_id, round(CASE WHEN l1 = 0 THEN sq ELSE fsq + sq - 2 * sq * {_DOT.format(a='fx', b=_BITS)} / l1 END, 6) AS est FROM code, f",
     "sq_encode_b": _E + f", a AS (SELECT vec_id, v, {_A.format(x='v')} AS a FROM e) SELECT vec_id, array_to_string(list_transform({_LEVELS.format(x='v', a='a', top=15)}, lambda y: y::INTEGER), ',') AS levels, a FROM a",
     "sq_estimate": _E + _ROT + _CEN + _FX + f", a AS (SELECT *, {_A.format(x='x')} AS a FROM code), b AS (SELECT *, list_transform({_LEVELS.format(x='x', a='a', top=15)}, lambda y: y / 15 * 2 * a - a) AS back FROM a) SELECT vec_id, round(fsq + sq - 2 * {_DOT.format(a='fx', b='back')}, 6) AS est FROM b, f",
     "ext_estimate": _E + _ROT + _CEN + _FX + f", a AS (SELECT *, {_A.format(x='x')} AS a FROM code), b AS (SELECT *, {_EXT.format(x='x', a='a', top=15)} AS o FROM a) SELECT vec_id, round(fsq + sq - 2 * {_DOT.format(a='fx', b='o')} * sq / {_DOT.format(a='o', b='x')}, 6) AS est FROM b, f",
@@ -347,6 +397,11 @@ ORACLE = {
 hits AS (SELECT qid, shard, vec_id, d2 FROM pairs JOIN m ON vec_id = id QUALIFY row_number() OVER (PARTITION BY qid, shard ORDER BY d2, vec_id) <= 10),
 once AS (SELECT qid, vec_id::VARCHAR AS ext_id, min(d2) AS d2 FROM hits GROUP BY 1, 2)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d2, ext_id)::INTEGER AS rank, ext_id, d2 FROM once QUALIFY rank <= 10""",
+    "dense_shards": _E + _Q + f""", p AS (SELECT q.qid, e.vec_id, m.label % 3 AS shard, {_SQ.format(a='qv', b='v')} AS d2 FROM q, e JOIN embeddings m ON e.vec_id = m.vec_id),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, shard ORDER BY d2, vec_id) <= 10)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id)::INTEGER AS rank, vec_id, d2 FROM t WHERE qid <> vec_id QUALIFY rank <= 10""",
+    "shard_split": "WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () // 4 AS each FROM embeddings) SELECT (place // each)::INTEGER AS shard, count(*) AS n_rows, min(vec_id) AS min_id, max(vec_id) AS max_id FROM p WHERE place // each < 4 GROUP BY 1",
+    "overlap_at_k": _RECALL + "SELECT qid, round(recall, 6) AS overlap FROM per",
     "recall_at_k": _RECALL + "SELECT qid, round(recall, 6) AS recall FROM per",
     "recall_summary": _RECALL + "SELECT round(coalesce(avg(recall), 0), 6) AS recall_mean, round(coalesce(min(recall), 0), 6) AS recall_min, count(*) AS n_queries FROM per",
     "bitbudget_recall": _budget(),

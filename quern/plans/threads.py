@@ -227,6 +227,27 @@ def item_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "item", "id", "ts").distinct().select("id", F.coalesce(text.short_date(F.col("ts")), F.lit("")).alias("date"))
 
 
+def date_back(spark: SparkSession, d: str) -> DataFrame:
+    """Days per month, read back from the written dates."""
+    day = text.parse_short_date(text.short_date(F.col("ts")))
+    rows = table(spark, d, "item", "ts").select(day.alias("day")).distinct()
+    return rows.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("day").alias("n_days"))
+
+
+def id_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Ids as eight bytes and back."""
+    raw = text.id_to_bytes(F.col("id"))
+    rows = table(spark, d, "item", "id").distinct()
+    return rows.select("id", F.lower(F.hex(raw)).alias("bytes"), text.bytes_to_id(raw).alias("back"))
+
+
+def embed_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Items that still need a vector: a valid id, a text to embed, and none so far."""
+    it = table(spark, d, "item", "id", "text", "title").where((F.col("id") >= 0) & (F.coalesce(text.text_or_title(F.col("text"), F.col("title")), F.lit("")) != ""))
+    have = table(spark, d, "embed_response_item", "item_id", "embedding").where(F.col("embedding").isNotNull())
+    return it.select("id").distinct().join(have, F.col("id") == F.col("item_id"), "left_anti")
+
+
 def url_host(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "hnitem", "text").select(net.url_host(F.col("text")).alias("host")).where(F.col("host").isNotNull())
     return rows.groupBy("host").agg(F.count("*").alias("n_rows"))
@@ -306,7 +327,7 @@ def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bulk_items, item_lookup, last_runs, upsert_latest, dedupe_events, new_items_anti, items_with_vector, calendar_shards, parse_ids, hits_items_join, thread_roots_join, parent_self_join, tree_backfill, append_fixpoint, thread_sizes, duplicate_ids, store_stats, freshness, thread_score, thread_order, thread_search, sort_newest, sort_oldest, page_threads, bm25_topn, hybrid_knn, scope_ratio, embed_text, title_snippet, html_to_text, text_snippet, utf8_truncate, item_date, url_host, page_preview, ip_is_public, sample_queries, latency_percentiles, percentile_floor, validation_verdict, rate_limit_replay)
+    for f in (bulk_items, item_lookup, last_runs, upsert_latest, dedupe_events, new_items_anti, items_with_vector, calendar_shards, parse_ids, hits_items_join, thread_roots_join, parent_self_join, tree_backfill, append_fixpoint, thread_sizes, duplicate_ids, store_stats, freshness, thread_score, thread_order, thread_search, sort_newest, sort_oldest, page_threads, bm25_topn, hybrid_knn, scope_ratio, embed_text, title_snippet, html_to_text, text_snippet, utf8_truncate, item_date, date_back, id_codec, embed_pending, url_host, page_preview, ip_is_public, sample_queries, latency_percentiles, percentile_floor, validation_verdict, rate_limit_replay)
 }
 
 _WANT = """, want AS (SELECT id, CASE WHEN ending = 'root' THEN tree_id ELSE id END AS root_id,
@@ -380,6 +401,9 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id)::INTEGER AS
     "html_to_text": f"SELECT seq, md5({_CLEAN}) AS digest FROM hnitem",
     "text_snippet": f"SELECT seq, CASE WHEN length(c) > 140 THEN substring(c, 1, 140) || '…' ELSE c END AS snippet FROM (SELECT seq, {_CLEAN} AS c FROM hnitem)",
     "item_date": f"SELECT DISTINCT id, coalesce({_DATE.format(ts='ts')}, '') AS date FROM item",
+    "date_back": "SELECT strftime(day, '%Y-%m') AS month, count(day) AS n_days FROM (SELECT DISTINCT CASE WHEN ts > 0 THEN make_timestamp(ts * 1000000)::DATE END AS day FROM item) GROUP BY 1",
+    "id_codec": "SELECT DISTINCT id, array_to_string(list_transform(range(0, 8), lambda i: lpad(to_hex((id >> (8 * i)) & 255), 2, '0')), '').lower() AS bytes, id AS back FROM item",
+    "embed_pending": "SELECT DISTINCT id FROM item WHERE id >= 0 AND coalesce(nullif(text, ''), title, '') <> '' AND id NOT IN (SELECT item_id FROM embed_response_item WHERE embedding IS NOT NULL AND item_id IS NOT NULL)",
     "url_host": r"""SELECT host, count(*) AS n_rows FROM (SELECT lower(nullif(regexp_extract(text, 'https?://([^/\s"''<>?#)\]]+)', 1), '')) AS host FROM hnitem) WHERE host IS NOT NULL GROUP BY host""",
     "page_preview": r"SELECT seq, coalesce(nullif(regexp_extract(text, '<title[^>]*>\s*(.*?)\s*</title>', 1, 'is'), ''), title, '') AS title FROM hnitem",
     "ip_is_public": f"SELECT event_id, concat_ws('.', n // 16777216, (n // 65536) % 256, (n // 256) % 256, n % 256) AS ip, NOT ({_CLOSED}) AS is_public FROM (SELECT event_id, (event_id * 2654435761) % 4294967296 AS n FROM events)",
