@@ -7,7 +7,8 @@ space into shards; every vector is then put into its shard, and each shard build
    neighbour.
 2. With that bound the vector is sent to those other shards that may hold something closer. At a
    vantage point with radius m, a vector at distance d whose k-th neighbour is within t needs the
-   inner side only if d - t <= m and the outer side only if d + t >= m.
+   inner side only if d - t <= m and the outer side only if d + t >= m. It visits the FIRST nearest
+   of these shards, and the others only if they are still needed with the bound that gives.
 3. The answers are merged.
 
 Both searches shrink t by ``factor`` before they test. Factor 1 is exact; with a smaller one a
@@ -37,12 +38,15 @@ from pyspark.sql import functions as F
 from quern.storage import Scratch
 
 K = 10
-FACTOR = 0.35
+FACTOR = 0.3
 #: Bounded sample on which the shards are fitted, and the least number of its vectors in a shard.
 SAMPLE, SAMPLE_PER_SHARD = 16_384, 32
-#: Vectors a shard should have, and the most queries that meet it in one task.
-SHARD_ROWS, CHUNK_ROWS = 4096, 32_768
+#: Most vectors a shard should have, fewest where more shards would keep more tasks busy, and the
+#: most queries that meet a shard in one task.
+SHARD_ROWS, LEAST_SHARD_ROWS, CHUNK_ROWS = 16_384, 2048, 32_768
 LEAF = 128
+#: Nearest other shards that a vector visits before its bound is used for all.
+FIRST = 4
 _EPS = 1e-6
 
 
@@ -112,17 +116,16 @@ class ShardTree:
                 node = 2 * node + 1 + (d[np.arange(len(x)), node] > self.radii[node])
         return node - ((1 << self.depth) - 1)
 
-    def reached(self, x: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """Whether vector i may have something closer than ``within[i]`` in shard j."""
-        on = np.ones((len(x), 1), dtype=bool)
+    def needed(self, x: np.ndarray) -> np.ndarray:
+        """How far around vector i one has to look to get into shard j: 0 for its own shard."""
+        need = np.zeros((len(x), 1))
         if self.depth:
             d = _distance(x @ self.points.T)
             for level in range(self.depth):
                 nodes = np.arange((1 << level) - 1, (2 << level) - 1)
-                near, m = d[:, nodes], self.radii[nodes]
-                both = np.stack([on & (near - within[:, None] <= m + _EPS), on & (near + within[:, None] >= m - _EPS)], axis=2)
-                on = both.reshape(len(x), -1)
-        return on
+                out = d[:, nodes] - self.radii[nodes]
+                need = np.maximum(need[:, :, None], np.stack([out, -out], axis=2)).reshape(len(x), -1)
+        return need
 
 
 class VantageTree:
@@ -223,7 +226,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, factor:
     index = all_rows.join(groups.select("rep", "members"), F.col("key") == F.col("rep")).select("key", "vector", "members")
     n = groups.count()
     sample = index.select("key", "vector").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
-    tree = ShardTree.fit(_matrix(sample["vector"], dim), -(-n // SHARD_ROWS))
+    busy = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_SHARD_ROWS))
+    tree = ShardTree.fit(_matrix(sample["vector"], dim), max(busy, -(-n // SHARD_ROWS)))
     shards = 1 << tree.depth
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / SAMPLE_PER_SHARD vectors
 
@@ -242,40 +246,50 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, factor:
         return pa.table([q, near, s], schema=_FOUND)
 
     found = scratch.save(index.groupBy("cell").applyInArrow(own_shard, "key bigint, near bigint, score double"), "home")
-    if shards > 1:
-        bound = found.groupBy("key").agg(F.count("*").alias("q_n"), F.min("score").alias("q_s")).select(F.col("key").alias("q_key"), F.when(F.col("q_n") >= k, F.col("q_s")).otherwise(-1.0).alias("q_s"))
+
+    def other_shard(asking: pa.Table, held: pa.Table) -> pa.Table:
+        if not asking.num_rows or not held.num_rows:
+            return _FOUND.empty_table()
+        x, q, bar = _matrix(held["vector"], dim), _matrix(asking["vector"], dim), asking["score"].to_numpy().astype(np.float32)
+        at, best = VantageTree(x).search(q, k, factor, within=_distance(bar.astype(np.float64)))
+        at = np.where(best >= bar[:, None], at, -1)
+        a, near, s = _answers(asking["key"].to_numpy(), held["members"].to_pylist(), at, best, k)
+        return pa.table([a, near, s], schema=_FOUND)
+
+    def visit(found: DataFrame, name: str, first: bool) -> DataFrame:
+        """Answers of the FIRST shards nearest to each vector, or of the others that may still hold something closer."""
+        kth = F.try_element_at(F.sort_array(F.collect_list("score"), False), F.lit(k))
+        bound = found.groupBy(F.col("key").alias("q_key")).agg(kth.alias("q_s"))
         asked = index.join(bound, F.col("key") == F.col("q_key"), "left").select("key", "vector", "cell", F.coalesce("q_s", F.lit(-1.0)).alias("score"))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                within = _distance(b.column(3).to_numpy().astype(np.float64)) * factor
-                on = shared.value.reached(_matrix(b.column(1), dim), within)
-                on[np.arange(len(on)), b.column(2).to_numpy()] = False
-                rows, cells = np.nonzero(on)
-                for a in range(0, len(rows), 20_000):
-                    some = b.take(pa.array(rows[a : a + 20_000]))
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(cells[a : a + 20_000], pa.int64()), some.column(3)], ["key", "vector", "cell", "score"])
-
-        sent = scratch.save(asked.mapInArrow(send, "key bigint, vector array<float>, cell bigint, score double"), "sent")
+            for batch in batches:
+                for a in range(0, batch.num_rows, 4096):
+                    b = batch.slice(a, 4096)
+                    need = shared.value.needed(_matrix(b.column(1), dim))
+                    need[np.arange(len(need)), b.column(2).to_numpy()] = np.inf
+                    on = need <= _distance(b.column(3).to_numpy().astype(np.float64))[:, None] * factor + _EPS
+                    n = min(FIRST, shards - 1)
+                    near = np.zeros_like(on)
+                    np.put_along_axis(near, np.argpartition(need, n - 1, axis=1)[:, :n], True, axis=1)
+                    rows, cells = np.nonzero(on & (near if first else ~near))
+                    for c in range(0, len(rows), 20_000):
+                        some = b.take(pa.array(rows[c : c + 20_000]))
+                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(cells[c : c + 20_000], pa.int64()), some.column(3)], ["key", "vector", "cell", "score"])
+
+        sent = scratch.save(asked.mapInArrow(send, "key bigint, vector array<float>, cell bigint, score double"), f"sent-{name}")
         loads = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         chunks = F.lit([-(-loads.get(c, 0) // CHUNK_ROWS) or 1 for c in range(shards)]).cast("array<int>")
         size = F.element_at(chunks, F.col("cell").cast("int") + 1)
         queries = sent.withColumn("q_chunk", F.pmod(F.xxhash64("key"), size).cast("int"))
         sides = index.withColumn("q_chunk", F.explode(F.sequence(F.lit(0), size - 1)))
-
-        def other_shard(asking: pa.Table, held: pa.Table) -> pa.Table:
-            if not asking.num_rows or not held.num_rows:
-                return _FOUND.empty_table()
-            x, q, bar = _matrix(held["vector"], dim), _matrix(asking["vector"], dim), asking["score"].to_numpy().astype(np.float32)
-            at, best = VantageTree(x).search(q, k, factor, within=_distance(bar.astype(np.float64)))
-            at = np.where(best >= bar[:, None], at, -1)
-            a, near, s = _answers(asking["key"].to_numpy(), held["members"].to_pylist(), at, best, k)
-            return pa.table([a, near, s], schema=_FOUND)
-
         far = queries.groupBy("cell", "q_chunk").cogroup(sides.groupBy("cell", "q_chunk")).applyInArrow(other_shard, "key bigint, near bigint, score double")
-        found = found.unionByName(scratch.save(far, "far"))
+        far = scratch.save(far, f"far-{name}")
+        scratch.drop(f"sent-{name}")
+        return found.unionByName(far)
+
+    if shards > 1:
+        found = visit(visit(found, "first", True), "rest", False)
     order = Window.partitionBy("key").orderBy(F.col("score").desc(), "near")
     best_of = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # equal vectors come first in each other's lists
