@@ -22,11 +22,11 @@ from quern.storage import _fs, delete
 
 
 def content_version(columns: Sequence[str]) -> Column:
-    """A digest of the columns in which null differs from '' and equals null.
+    """A digest of the columns, 16 bytes, in which null differs from '' and equals null.
 
     The JSON text leaves null fields out and names the others, so it is one-to-one.
     """
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns])), 256)
+    return F.substring(F.unhex(F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns])), 256)), 1, 16)
 
 
 def latest_version(deliveries: DataFrame, keys: Sequence[str], order: Sequence[str], content: Sequence[str]) -> DataFrame:

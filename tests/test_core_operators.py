@@ -44,7 +44,7 @@ CONTENT = ["title", "text"]
 
 def test_version_tells_null_from_empty(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, None, "x"), (4, "x", None)], "id long, title string, text string")
-    v = {r.id: r.v for r in df.select("id", incremental.content_version(CONTENT).alias("v")).collect()}
+    v = {r.id: bytes(r.v) for r in df.select("id", incremental.content_version(CONTENT).alias("v")).collect()}
     assert v[1] == v[3] and len({v[1], v[2], v[4]}) == 3
 
 
