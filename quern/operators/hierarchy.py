@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from quern.storage import Scratch
 
-#: Peeling ends when the inner nodes are fewer than this part of all nodes,
+#: Peeling ends when one task can rank the tours of the inner nodes, when these are fewer than this
+#: part of all nodes,
 CORE_PART = 1 / 64
 #: or when a round takes less than this part of them.
 LEAST_SHRINK = 0.1
@@ -82,7 +83,7 @@ def _peel(nodes: DataFrame, run: _Run) -> tuple[list[DataFrame], DataFrame]:
         rest = state.where(~F.col("leaf")).join(kids, F.col("id") == F.col("q_p"))
         rest = rest.select("id", "parent", (F.col("acc") + F.col("q_add")).alias("acc"), (F.col("q_inner") == 0).alias("leaf"))
         r += 1
-        if inner <= run.nodes * CORE_PART or leaves < LEAST_SHRINK * (leaves + inner):
+        if 2 * inner <= run.local or inner <= run.nodes * CORE_PART or leaves < LEAST_SHRINK * (leaves + inner):
             return layers, run.scratch.save(rest.drop("leaf"), "core")
         state = rest
 
