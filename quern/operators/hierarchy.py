@@ -8,7 +8,9 @@
    Parallel list ranking by pointer jumping gives, of every list element, the sums of the weights
    up to the list's end. The +1/-1 sum is the depth, the element at the end names the root, and
    the position sums are the entry and exit of the node. A tour that runs through a circle has no
-   end: after as many rounds as the longest list needs, what is still unranked is circular.
+   end: after as many rounds as the longest list needs, what is still unranked is circular. The
+   nodes on the circles are found by following parents often enough; what hangs below them is
+   ranked again as trees of its own, so only the circles themselves have no interval.
 3. The peeled layers come back in reverse order; a node's interval lies inside its parent's.
 
 Entry and exit count back from the end of the node's tour, so they need no pass for its length.
@@ -154,14 +156,14 @@ def _rank_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table(columns, names=["e", "nxt", "pos", "dep", "tail"]).to_batches(100_000)
 
 
-def rank_lists(rows: DataFrame, run: _Run) -> DataFrame:
+def rank_lists(rows: DataFrame, run: _Run, name: str = "rank") -> DataFrame:
     """Pointer jumping: ``pos`` and ``dep`` become sums up to the list's end and ``tail`` its last element.
 
     A round doubles the reach of every element, so lists of n elements need log2(n) rounds;
     elements whose ``nxt`` is not null after that are on circular lists.
     """
     rows, seen = _counted(rows, open=F.col("nxt").isNotNull(), all=F.lit(1))
-    rows = run.scratch.save(rows, "rank0")
+    rows = run.scratch.save(rows, f"{name}0")
     left, r, rounds = seen.get["open"], 0, max(1, seen.get["all"]).bit_length()
     if seen.get["all"] <= run.local:
         return rows.coalesce(1).mapInArrow(_rank_here, "e bigint, nxt bigint, pos bigint, dep bigint, tail bigint")
@@ -171,12 +173,59 @@ def rank_lists(rows: DataFrame, run: _Run) -> DataFrame:
         moved = moved.select("e", F.col("q_nxt").alias("nxt"), (F.col("pos") + F.col("q_pos")).alias("pos"), (F.col("dep") + F.col("q_dep")).alias("dep"), F.col("q_tail").alias("tail"))
         new, seen = _counted(rows.where(F.col("nxt").isNull()).unionByName(moved), open=F.col("nxt").isNotNull())
         r += 1
-        rows = run.scratch.save(new, f"rank{r}")
+        rows = run.scratch.save(new, f"{name}{r}")
         left = seen.get["open"]
-        run.scratch.drop(f"rank{r - 1}")
+        run.scratch.drop(f"{name}{r - 1}")
     return rows
 
 
+def _circles_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same over arrays."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    ids = t["id"].to_numpy()
+    order = np.argsort(ids)
+    to = order[np.searchsorted(ids[order], t["nxt"].to_numpy())]
+    for _ in range(len(ids).bit_length()):
+        to = to[to]
+    yield from pa.table([pa.array(ids[np.unique(to)])], names=["on"]).to_batches(100_000)
+
+
+def _on_circles(rows: DataFrame, count: int, run: _Run) -> DataFrame:
+    """(on): the ids on circles, of (id, nxt) in which every id leads into one.
+
+    After at least ``count`` steps every id has come to its circle, and every id of a circle is
+    reached by one of them; a round doubles the steps.
+    """
+    if count <= run.local:
+        return run.scratch.save(rows.coalesce(1).mapInArrow(_circles_here, "on bigint"), "on")
+    for r in range(count.bit_length()):
+        ahead = rows.select(F.col("id").alias("q_id"), F.col("nxt").alias("q_nxt"))
+        rows = run.scratch.save(rows.join(ahead, F.col("nxt") == F.col("q_id")).select("id", F.col("q_nxt").alias("nxt")), f"circle{r}")
+        if r:
+            run.scratch.drop(f"circle{r - 1}")
+    return run.scratch.save(rows.select(F.col("nxt").alias("on")).distinct(), "on")
+
+
+def _below_circles(done: DataFrame, core: DataFrame, count: int, run: _Run) -> DataFrame:
+    """``done`` with intervals and ``top`` of the ``count`` nodes that run into a circle and are not on one."""
+    lost = core.join(done.where(F.col("ending") == "cycle").select(F.col("id").alias("q_id")), F.col("id") == F.col("q_id")).drop("q_id")
+    lost = run.scratch.save(lost, "lost")
+    on = _on_circles(lost.select("id", F.col("parent").alias("nxt")), count, run)
+    off = lost.join(on, F.col("id") == F.col("on"), "left_anti").join(on, F.col("parent") == F.col("on"), "left")
+    off, seen = _counted(off.select("id", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"), "acc"), all=F.lit(1))
+    off = run.scratch.save(off, "off")
+    if not seen.get["all"]:
+        return done
+    own = _core_result(off, rank_lists(euler_tour(off, run), run, "below_rank"))
+    own = own.select(F.col("id").alias("q_id"), F.col("top").alias("q_top"), F.col("entry").alias("q_entry"), F.col("exit").alias("q_exit"))
+    rows = done.join(own, F.col("id") == F.col("q_id"), "left")
+    new = {c: F.coalesce(F.col(c), F.col(f"q_{c}")).alias(c) for c in ("top", "entry", "exit")}
+    return run.scratch.save(rows.select(*[new.get(c, F.col(c)) for c in done.columns]), "tree/whole")
+
+
 def _core_result(core: DataFrame, ranked: DataFrame) -> DataFrame:
     side = F.pmod(F.col("e"), F.lit(2))
     done = F.col("nxt").isNull()
@@ -190,40 +239,46 @@ def _core_result(core: DataFrame, ranked: DataFrame) -> DataFrame:
     missing = rows.where(F.col("id") == F.col("tree_id")).where(F.col("parent").isNotNull()).select(F.col("tree_id").alias("q_m"))
     rows = rows.join(missing, F.col("tree_id") == F.col("q_m"), "left")
     ending = F.when(F.col("tree_id").isNull(), "cycle").when(F.col("q_m").isNotNull(), "missing").otherwise("root")
-    return rows.select("id", "tree_id", "level", "entry", "exit", ending.alias("ending"))
+    return rows.select("id", "tree_id", F.col("tree_id").alias("top"), "level", "entry", "exit", ending.alias("ending"))
 
 
 def build_trees(df: DataFrame, key: str = "id", parent: str = "parent", local: int = LOCAL_ELEMENTS) -> DataFrame:
-    """(id, parent, tree_id, level, entry, exit, size, ending) of every id.
+    """(id, parent, tree_id, top, level, entry, exit, size, ending) of every id.
 
     ``ending``: 'root' if following the parents reaches a node without one, 'missing' if it
     reaches an id that is not in the table, 'cycle' if it runs into a circle. ``tree_id`` is the
-    topmost node and ``level`` the steps to it; on the way into a circle both are null, as are
-    entry and exit. ``size`` is the number of nodes of the subtree, null on a circle. ``local``: list
-    elements up to which one task ranks the tours.
+    topmost node and ``level`` the steps to it; on the way into a circle both are null. ``top`` is
+    the topmost node whose tour entry and exit belong to: ``tree_id``, or on the way into a circle
+    the last node before it. ``size`` is the number of nodes of the subtree. On a circle ``top``,
+    entry, exit and size are null. ``local``: list elements up to which one task ranks the tours.
     """
     run = _Run(Scratch(df.sparkSession, "hierarchy"), local)
     nodes = tree_nodes(df, key, parent)
     layers, core = _peel(nodes, run)
     ranked = rank_lists(euler_tour(core, run), run)
-    top = _core_result(core, ranked).withColumn("size", ((F.col("exit") - F.col("entry") + 1) / 2).cast("long"))
-    done = run.scratch.save(core.select(F.col("id").alias("q_id"), "parent").join(top, F.col("id") == F.col("q_id")).drop("q_id"), "tree/core")
-    columns = ["id", "parent", "tree_id", "level", "entry", "exit", "size", "ending"]
+    top = core.select(F.col("id").alias("q_id"), "parent").join(_core_result(core, ranked), F.col("id") == F.col("q_id")).drop("q_id")
+    top, seen = _counted(top, circular=F.col("ending") == "cycle")
+    done = run.scratch.save(top, "tree/core")
+    if seen.get["circular"]:
+        done = _below_circles(done, core, seen.get["circular"], run)
+    done = done.withColumn("size", ((F.col("exit") - F.col("entry") + 1) / 2).cast("long"))
+    columns = ["id", "parent", "tree_id", "top", "level", "entry", "exit", "size", "ending"]
     done = done.select(*columns)
     peeled = None
     for r, layer in enumerate(layers):
         rows = layer.withColumn("q_layer", F.lit(r))
         peeled = rows if peeled is None else peeled.unionByName(rows)
-    single = peeled.where(F.col("parent").isNull()).select("id", "parent", F.col("id").alias("tree_id"), F.lit(0).cast("long").alias("level"), (-2 * F.col("size")).alias("entry"), F.lit(-1).cast("long").alias("exit"), "size", F.lit("root").alias("ending"))
+    single = peeled.where(F.col("parent").isNull()).select("id", "parent", F.col("id").alias("tree_id"), F.col("id").alias("top"), F.lit(0).cast("long").alias("level"), (-2 * F.col("size")).alias("entry"), F.lit(-1).cast("long").alias("exit"), "size", F.lit("root").alias("ending"))
     done = done.unionByName(run.scratch.save(single.select(*columns), "tree/single"))
     below = _siblings(peeled.where(F.col("parent").isNotNull()), run, "size").select("id", "parent", "size", "q_off", "q_layer")
     below = run.scratch.save(below, "below")
     for r in reversed(range(len(layers))):
-        up = done.select(F.col("id").alias("q_pid"), F.col("tree_id").alias("q_tree"), F.col("level").alias("q_level"), F.col("entry").alias("q_entry"), F.col("ending").alias("q_ending"))
+        up = done.select(F.col("id").alias("q_pid"), F.col("tree_id").alias("q_tree"), F.col("top").alias("q_top"), F.col("level").alias("q_level"), F.col("entry").alias("q_entry"), F.col("ending").alias("q_ending"))
         rows = below.where(F.col("q_layer") == r).join(up, F.col("parent") == F.col("q_pid"), "left")
         lost = F.col("q_pid").isNull()
-        entry = F.when(lost, -2 * F.col("size")).otherwise(F.col("q_entry") + 1 + 2 * F.col("q_off"))
-        rows = rows.select("id", "parent", F.when(lost, F.col("id")).otherwise(F.col("q_tree")).alias("tree_id"), F.when(lost, 0).otherwise(F.col("q_level") + 1).cast("long").alias("level"), entry.alias("entry"), (entry + 2 * F.col("size") - 1).alias("exit"), "size", F.when(lost, "missing").otherwise(F.col("q_ending")).alias("ending"))
+        first = F.col("q_top").isNull()  # the parent is on a circle, or not in the table
+        entry = F.when(first, -2 * F.col("size")).otherwise(F.col("q_entry") + 1 + 2 * F.col("q_off"))
+        rows = rows.select("id", "parent", F.when(lost, F.col("id")).otherwise(F.col("q_tree")).alias("tree_id"), F.when(first, F.col("id")).otherwise(F.col("q_top")).alias("top"), F.when(lost, 0).otherwise(F.col("q_level") + 1).cast("long").alias("level"), entry.alias("entry"), (entry + 2 * F.col("size") - 1).alias("exit"), "size", F.when(lost, "missing").otherwise(F.col("q_ending")).alias("ending"))
         done = done.unionByName(run.scratch.save(rows.select(*columns), f"tree/layer{r}"))
     for r in range(len(layers)):
         run.scratch.drop(f"peel{r}")
@@ -243,27 +298,27 @@ def stored_fields(tree: DataFrame) -> DataFrame:
 def ancestors_of(tree: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, ancestor, level) for a stated set of ids (column ``id``), by interval containment."""
     want = tree.join(ids.select(F.col("id").alias("q_want")).distinct(), F.col("id") == F.col("q_want"), "left_semi")
-    b = want.select("id", F.col("tree_id").alias("q_t"), F.col("entry").alias("q_in"), F.col("exit").alias("q_out"))
-    a = tree.select(F.col("id").alias("ancestor"), "tree_id", "level", "entry", "exit")
-    return b.join(a, (F.col("q_t") == F.col("tree_id")) & (F.col("entry") < F.col("q_in")) & (F.col("q_out") < F.col("exit"))).select("id", "ancestor", "level")
+    b = want.select("id", F.col("top").alias("q_t"), F.col("entry").alias("q_in"), F.col("exit").alias("q_out"))
+    a = tree.select(F.col("id").alias("ancestor"), "top", "level", "entry", "exit")
+    return b.join(a, (F.col("q_t") == F.col("top")) & (F.col("entry") < F.col("q_in")) & (F.col("q_out") < F.col("exit"))).select("id", "ancestor", "level")
 
 
 def descendants_of(tree: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, descendant, level) for a stated set of ids (column ``id``), by interval containment."""
     want = tree.join(ids.select(F.col("id").alias("q_want")).distinct(), F.col("id") == F.col("q_want"), "left_semi")
-    a = want.select("id", F.col("tree_id").alias("q_t"), F.col("entry").alias("q_in"), F.col("exit").alias("q_out"))
-    b = tree.select(F.col("id").alias("descendant"), "tree_id", "level", "entry", "exit")
-    return a.join(b, (F.col("q_t") == F.col("tree_id")) & (F.col("entry") > F.col("q_in")) & (F.col("exit") < F.col("q_out"))).select("id", "descendant", "level")
+    a = want.select("id", F.col("top").alias("q_t"), F.col("entry").alias("q_in"), F.col("exit").alias("q_out"))
+    b = tree.select(F.col("id").alias("descendant"), "top", "level", "entry", "exit")
+    return a.join(b, (F.col("q_t") == F.col("top")) & (F.col("entry") > F.col("q_in")) & (F.col("exit") < F.col("q_out"))).select("id", "descendant", "level")
 
 
 def paths(tree: DataFrame) -> DataFrame:
-    """(id, path): the ids from the topmost node down to the node; nodes that lead into a circle have none.
+    """(id, path): the ids from ``top`` down to the node; nodes on a circle have none.
 
     Chains of ancestors double in length each round, so a tree of depth d takes log2(d) rounds.
     """
     scratch = Scratch(tree.sparkSession, "paths")
-    top = F.col("level") == 0
-    rows = tree.where(F.col("tree_id").isNotNull()).select("id", F.when(~top, F.col("parent")).alias("nxt"), F.array("id").alias("path"))
+    top = F.col("id") == F.col("top")
+    rows = tree.where(F.col("top").isNotNull()).select("id", F.when(~top, F.col("parent")).alias("nxt"), F.array("id").alias("path"))
     r = 0
     while True:
         rows, seen = _counted(rows, open=F.col("nxt").isNotNull())

@@ -58,7 +58,7 @@ def p4_tree(spark: SparkSession, d: str) -> DataFrame:
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of every id that ends at a root or at a missing id, as text."""
     t = hierarchy.build_trees(table(spark, d, "item", "id", "parent"))
-    return hierarchy.paths(t).select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+    return hierarchy.paths(t.where(F.col("tree_id").isNotNull())).select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

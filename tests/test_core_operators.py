@@ -178,6 +178,30 @@ def test_paths_ancestors_and_descendants(spark, rows):
     assert rows(hierarchy.descendants_of(tree, ask), "id", "descendant") == [(1, 2), (1, 3), (1, 4)]
 
 
+@pytest.mark.parametrize("local", [500_000, 40, 0])
+def test_subtrees_below_circles_whatever_the_peeling(spark, rows, local):
+    pairs = [(1, 2), (2, 3), (3, 1), (8, 8), (20, 0), (21, 20), (22, 21), (23, 22)]  # two circles, a tree
+    pairs += [(100, 1), (101, 100), (102, 101), (103, 101), (104, 103), (105, 100), (106, 1), (107, 106), (110, 8), (111, 8), (112, 111)]
+    pairs += [(200 + i, 199 + i if i else 2) for i in range(40)]  # a chain into a circle
+    pairs += [(300, 999), (301, 300), (302, 301)]
+    parent, on = {i: p or None for i, p in pairs}, {1, 2, 3, 8}
+    up = {}
+    for i in parent:
+        up[i], at = [i], parent[i]
+        while i not in on and at in parent and at not in on:
+            up[i], at = [at, *up[i]], parent[at]
+    below = {i: {j for j in parent if j not in on and i in up[j]} - {i} for i in parent}
+    tree = check_trees(spark, pairs, local=local)
+    got = {r.id: r for r in tree.collect()}
+    assert {i: r.size for i, r in got.items()} == {i: None if i in on else len(below[i]) + 1 for i in parent}
+    assert {i: r.top for i, r in got.items()} == {i: None if i in on else up[i][0] for i in parent}
+    spans = [(r.top, r.entry) for r in got.values() if r.top is not None]
+    assert len(set(spans)) == len(spans)
+    assert rows(hierarchy.paths(tree)) == sorted((i, up[i]) for i in parent if i not in on)
+    ask = spark.createDataFrame([(i,) for i in parent], "id long")
+    assert rows(hierarchy.descendants_of(tree, ask), "id", "descendant") == sorted((i, j) for i in parent if i not in on for j in below[i])
+
+
 # --- skew -------------------------------------------------------------------------------------
 
 
