@@ -229,3 +229,37 @@ def test_markup_columns(spark, rows):
     assert rows(markup.marked_up(df, "id", "text")) == [(1,)]
     assert rows(markup.clean_column(df, "id", "text")) == [(None, "y"), (1, "x"), (1, "x"), (2, "plain"), (3, None), (4, "")]
     assert markup.marked_up(df.limit(0), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("*" + "long word " * 90 + "end*", "long word " * 90 + "end"),
+        ("''" + "long word " * 300 + "end''", "long word " * 300 + "end"),
+        ("see *soft\nwrapped* text", "see soft\nwrapped text"),
+        ("see **soft\nwrapped** text", "see soft\nwrapped text"),
+        ("see __soft\nwrapped__ and", "see soft\nwrapped and"),
+        ("see _soft\nwrapped_ and", "see soft\nwrapped and"),
+        ("see ~~soft\nwrapped~~ text", "see soft\nwrapped text"),
+        ("see `soft\nwrapped` text", "see soft\nwrapped text"),
+        ("see [soft\nwrapped](http://x.y/z) text", "see soft\nwrapped text"),
+        ("**a *b* c**", "a b c"),
+        ("x " + "{{a|" * 7 + "b" + "}}" * 7 + " y", "x  y"),
+        ("x " + r"\textbf{" * 9 + "b" + "}" * 9 + " y", "x b y"),
+    ],
+)
+def test_long_wrapped_and_nested_constructs(raw, want):
+    assert markup.has_markup(raw) and markup.clean_text(raw) == want
+
+
+@pytest.mark.parametrize("text", ["2 *3\n\nand 4* 5", "a ~~b\n\nc~~ d", "a `b\n\nc` d"])
+def test_spans_end_with_their_paragraph(text):
+    assert not markup.has_markup(text)
+
+
+def test_held_pieces_within_held_pieces_are_released():
+    h = markup._Holder()
+    at = "x"
+    for i in range(9):
+        at = h.hold(f"{i}{at}")
+    assert h.release(at) == "876543210x"
