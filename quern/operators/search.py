@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import kernels
+from quern.storage import Scratch
 
 #: Largest query set that is broadcast, and rows of a block of queries and of base vectors otherwise.
 BROADCAST_BYTES = 32 << 20
@@ -36,8 +37,9 @@ Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int, score: Score | None, root: bool) -> list[np.ndarray]:
     """Per query the k best of a block, ties by id; without ``score`` exact squared distances."""
     out: list[list[np.ndarray]] = [[], [], []]
-    for a in range(0, len(q), 256):
-        part, pid = q[a : a + 256], qids[a : a + 256]
+    step = max(1, min(256, 65_536 // (2 * k + 8)))  # bounds the candidates that are measured at once
+    for a in range(0, len(q), step):
+        part, pid = q[a : a + step], qids[a : a + step]
         s = (score or kernels.approximate_squared)(part, b)
         s[pid[:, None] == ids[None, :]] = np.inf
         n = min(len(ids), k if score else 2 * k + 8)
@@ -186,6 +188,44 @@ def graph_knn(base: DataFrame, queries: DataFrame, dim: int, k: int = 10, width:
     return ranked(blocks.groupBy("q_shard").applyInArrow(shard, _KIND), k)
 
 
+def robust_prune(base: DataFrame, dim: int, keep: int, alpha: float = 1.2, near: int = 64) -> DataFrame:
+    """(node, slot, nbr): robust pruning of every vector's neighbours among all others.
+
+    Nearest come first and only nearer ones can drop a candidate, so ``keep`` found among the
+    ``near`` nearest are those of the whole table. A node that has fewer is asked again for eight
+    times as many, in the end for all.
+    """
+    scratch = Scratch(base.sparkSession, "prune")
+    base = scratch.save(base, "base")
+    ids = base.agg(F.countDistinct("vec_id")).first()[0]
+    kind = "node bigint, slot int, nbr bigint, n int"
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        x = kernels.matrix(t["q_b"], dim)
+        dist, alive, out = np.sqrt(t["d2"].to_numpy()), np.ones(t.num_rows, dtype=bool), []
+        while len(out) < keep and alive.any():
+            i = int(np.argmax(alive))
+            out.append(i)
+            alive[i] = False
+            alive &= ~(alpha * np.sqrt(kernels.squared(x[i][None, :], x)) <= dist)
+        n = len(out)
+        return pa.table([t["qid"].take(out), pa.array(range(1, n + 1), pa.int32()), t["vec_id"].take(out), pa.array([n] * n, pa.int32())], names=["node", "slot", "nbr", "n"])
+
+    asked, done, r = base, None, 0
+    while True:
+        near = min(near, max(1, ids - 1))
+        c = exact_knn(base, asked, dim, near).join(base.select("vec_id", F.col("embedding").alias("q_b")), "vec_id")
+        rows = scratch.save(c.groupBy("qid").applyInArrow(one, kind), f"kept{r}")
+        whole = near >= ids - 1
+        ready = (rows if whole else rows.where(F.col("n") == keep)).select("node", "slot", "nbr")
+        done = ready if done is None else done.unionByName(ready)
+        asked = base.join(rows.where(F.col("n") < keep).select(F.col("node").alias("q_id")).distinct(), F.col("vec_id") == F.col("q_id"), "left_semi")
+        if whole or asked.isEmpty():
+            return done
+        near, r = near * 8, r + 1
+
+
 def federated(hits: DataFrame, k: int) -> DataFrame:
     """Merges (qid, shard, ext_id, d2): by distance, then id as text; an id that several shards hold counts once."""
     once = hits.groupBy("qid", "ext_id").agg(F.min("d2").alias("d2"))

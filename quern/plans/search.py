@@ -202,16 +202,9 @@ def two_tier_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Exact 8-neighbour graph inside blocks of 512 ids."""
-    base = _vectors(spark, d).withColumn("shard", F.floor(F.col("vec_id") / 512))
-
-    def block(t: pa.Table) -> pa.Table:
-        ids, x = t["vec_id"].to_numpy(), kernels.matrix(t["embedding"], DIM)
-        q, v, dist = S._best(ids, x, ids, x, 8, None, False)
-        return pa.table([q.astype(np.int64), v.astype(np.int64), dist.astype(np.float64)], names=["qid", "vec_id", "d2"])
-
-    hits = S.ranked(base.groupBy("shard").applyInArrow(block, "qid bigint, vec_id bigint, d2 double"), 8)
-    return hits.select(F.col("qid").alias("node"), F.col("rank").alias("slot"), F.col("vec_id").alias("nbr"))
+    """Exact 8-neighbour graph of the whole table."""
+    base = _vectors(spark, d)
+    return S.exact_knn(base, base, DIM, 8).select(F.col("qid").alias("node"), F.col("rank").alias("slot"), F.col("vec_id").alias("nbr"))
 
 
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
@@ -220,20 +213,8 @@ def graph_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def robust_prune(spark: SparkSession, d: str) -> DataFrame:
-    """Pruned neighbours of every vector among its block of 64 ids."""
-    base = _vectors(spark, d).withColumn("shard", F.floor(F.col("vec_id") / 64))
-
-    def block(t: pa.Table) -> pa.Table:
-        ids, x = t["vec_id"].to_numpy(), kernels.matrix(t["embedding"], DIM)
-        dist = np.sqrt(np.maximum(0, kernels.approximate_squared(x, x)))
-        node, slot, nbr = [], [], []
-        for i in range(len(ids)):
-            others = np.array([j for j in range(len(ids)) if j != i], dtype=np.int64)
-            for s, j in enumerate(kernels.prune(dist[i, others], dist[np.ix_(others, others)], 8)):
-                node.append(int(ids[i])), slot.append(s + 1), nbr.append(int(ids[others[j]]))
-        return pa.table({"node": pa.array(node, pa.int64()), "slot": pa.array(slot, pa.int32()), "nbr": pa.array(nbr, pa.int64())})
-
-    return base.groupBy("shard").applyInArrow(block, "node bigint, slot int, nbr bigint")
+    """Pruned neighbours of every vector among all others."""
+    return S.robust_prune(_vectors(spark, d), DIM, 8)
 
 
 def federated_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -77,6 +77,24 @@ def test_graph_search_finds_most(data):
     assert np.mean([harness.recall(got[i], want[i]) for i in want]) > 0.9
 
 
+def test_graph_and_pruning_see_the_whole_table(spark, tmp_path):
+    from quern.plans import search
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 64)).astype(np.float32)
+    x[350:] = x[:350] + rng.normal(size=(350, 64)).astype(np.float32) * 0.01  # the nearest one is always in another block
+    x[5:200] = x[5] + rng.normal(size=(195, 64)).astype(np.float32) * 1e-3  # more near ones than are asked for at first
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(np.float64)
+    want = brute(x, list(range(len(x))), 8)
+    got = search.knn_graph(spark, str(tmp_path)).withColumnsRenamed({"node": "qid", "slot": "rank", "nbr": "vec_id"})
+    assert lists(got) == want
+    dist = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(axis=2))
+    pruned = {i: [int(j) for j in kernels.prune(np.where(np.arange(len(x)) == i, np.inf, dist[i]), dist, 8) if j != i] for i in range(len(x))}
+    got = search.robust_prune(spark, str(tmp_path)).withColumnsRenamed({"node": "qid", "slot": "rank", "nbr": "vec_id"})
+    assert lists(got) == pruned
+
+
 def test_rotation_keeps_lengths_and_codes_agree_at_one_bit(data):
     x, _ = data
     r = kernels.rotate(x[:, :20])
