@@ -15,7 +15,9 @@ from quern.operators import threads as T
 from quern.plans.core import _TREE
 from quern.tables import table
 
-DIM, K_RAW, K = 96, 50, 10
+DIM, K = 96, 10
+#: Raw hits of a query before they are grouped by thread, the reference's default.
+K_RAW = 300
 
 
 # --- loads, lookups, upserts ------------------------------------------------------------------
@@ -132,15 +134,15 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "item", "ts").agg(F.coalesce(F.max("ts"), F.lit(0)).alias("max_ts"), F.coalesce(text.short_date(F.max("ts")), F.lit("")).alias("freshness"))
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """The K_RAW nearest item vectors of every item vector whose id is divisible by 100."""
+def _hits(spark: SparkSession, d: str, k_raw: int = K_RAW) -> DataFrame:
+    """The ``k_raw`` nearest item vectors of every item vector whose id is divisible by 100."""
     v = table(spark, d, "embed_response_item", "item_id", "embedding")
     base = S.valid(v, "item_id", "embedding", DIM).where(F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).distinct()
-    return S.exact_knn(base, base.where(F.col("vec_id") % 100 == 0), DIM, K_RAW)
+    return S.exact_knn(base, base.where(F.col("vec_id") % 100 == 0), DIM, k_raw)
 
 
-def _threads(spark: SparkSession, d: str) -> DataFrame:
-    return T.ordered(T.hits_by_thread(_hits(spark, d), _trees(spark, d)))
+def _threads(spark: SparkSession, d: str, k_raw: int = K_RAW) -> DataFrame:
+    return T.ordered(T.hits_by_thread(_hits(spark, d, k_raw), _trees(spark, d)))
 
 
 def thread_score(spark: SparkSession, d: str) -> DataFrame:

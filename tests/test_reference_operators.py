@@ -127,6 +127,26 @@ def test_threads_golden(spark, rows):
     assert rows(T.page(t, 5, 2), "root_id") == [(3000,)]
 
 
+def by_sql(sql, *changes, d="/root/testdata/sf0.01"):
+    """Rows of a query's SQL, with the places that state the former, smaller job changed."""
+    import duckdb
+
+    for old, new in changes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    c = duckdb.connect()
+    for t in ("item", "embed_response_item", "embeddings", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    return c.execute(sql).fetchall()
+
+
+def test_threads_are_made_of_all_raw_hits(spark, rows):
+    from quern.plans import threads
+
+    want = by_sql(threads.ORACLE["thread_order"], ("<= 50)", "<= 300)"))
+    assert rows(threads.thread_order(spark, "/root/testdata/sf0.01")) == sorted(want)
+
+
 def test_pending_chains_resolve_whatever_their_order(spark, rows):
     items = spark.createDataFrame([(1, 0), (2, 1), (3, 99)], "id long, parent long")
     pending = spark.createDataFrame([(12, 11), (11, 10), (10, 2), (20, 3), (21, 20), (30, 98), (31, 30), (40, 41), (41, 40), (2, 1), (50, None)], "id long, parent long")
