@@ -140,7 +140,7 @@ def rotated_centroid(base: DataFrame, dim: int) -> np.ndarray:
     return np.sum([r.total for r in parts], axis=0) / n if n else np.zeros(width)
 
 
-def two_stage_knn(base: DataFrame, queries: DataFrame, dim: int, k: int = 10, candidates: int = 64) -> DataFrame:
+def two_stage_knn(base: DataFrame, queries: DataFrame, dim: int, k: int = 10, candidates: int = 128) -> DataFrame:
     """1-bit codes choose ``candidates`` per query, exact distances order them."""
     centre = rotated_centroid(base, dim)
 

@@ -190,7 +190,7 @@ def exact_knn_heap(spark: SparkSession, d: str) -> DataFrame:
 
 def two_stage_knn(spark: SparkSession, d: str) -> DataFrame:
     base = _vectors(spark, d)
-    return S.two_stage_knn(base, _queries(base), DIM, K, 64)
+    return S.two_stage_knn(base, _queries(base), DIM, K)
 
 
 def two_tier_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +263,7 @@ def overlap_at_k(spark: SparkSession, d: str) -> DataFrame:
     base = _vectors(spark, d)
     q = _queries(base)
     want = S.exact_knn(base, q, DIM, K).groupBy("qid").agg(F.collect_set("vec_id").alias("w"))
-    got = S.two_stage_knn(base, q, DIM, K, 64).groupBy(F.col("qid").alias("q_q")).agg(F.collect_set("vec_id").alias("g"))
+    got = S.two_stage_knn(base, q, DIM, K).groupBy(F.col("qid").alias("q_q")).agg(F.collect_set("vec_id").alias("g"))
     both = want.join(got, F.col("qid") == F.col("q_q"), "left")
     n = F.least(F.lit(K), F.size("w"))
     return both.select("qid", F.round(F.coalesce(F.size(F.array_intersect("w", "g")), F.lit(0)) / n, 6).alias("overlap"))
@@ -273,7 +273,7 @@ def _recalls(spark: SparkSession, d: str) -> DataFrame:
     base = _vectors(spark, d)
     q = _queries(base)
     want = S.exact_knn(base, q, DIM, K).select("qid", "vec_id")
-    got = S.two_stage_knn(base, q, DIM, K, 64).select("qid", F.col("vec_id").alias("q_v"))
+    got = S.two_stage_knn(base, q, DIM, K).select("qid", F.col("vec_id").alias("q_v"))
     hit = want.join(got.withColumnRenamed("qid", "q_q"), (F.col("qid") == F.col("q_q")) & (F.col("vec_id") == F.col("q_v")), "left")
     return hit.groupBy("qid").agg((F.count("q_v") / F.count("*")).alias("recall"))
 

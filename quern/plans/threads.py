@@ -18,6 +18,8 @@ from quern.tables import table
 DIM, K = 96, 10
 #: Raw hits of a query before they are grouped by thread, the reference's default.
 K_RAW = 300
+#: Documents of a shard that the lexical stage keeps, as in the reference.
+BM25_LIMIT = 200
 
 
 # --- loads, lookups, upserts ------------------------------------------------------------------
@@ -179,7 +181,8 @@ def page_threads(spark: SparkSession, d: str) -> DataFrame:
 def _bm25(spark: SparkSession, d: str, n: int) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "lang", "title")
     asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "title")
-    return lexical.bm25(docs, asked, "doc_id", "lang", "text", "title", n)
+    docs = docs.select("doc_id", "lang", F.concat_ws("\n", "title", "text").alias("q_text"))
+    return lexical.bm25(docs, asked, "doc_id", "lang", "q_text", "title", n)
 
 
 def bm25_topn(spark: SparkSession, d: str) -> DataFrame:
@@ -189,13 +192,13 @@ def bm25_topn(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
     """Lexical candidates of all shards, reordered by exact distance; documents without a vector drop out."""
     base = S.valid(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 64)
-    cand = _bm25(spark, d, 50).select("qid", F.col("doc_id").alias("vec_id")).distinct()
+    cand = _bm25(spark, d, BM25_LIMIT).select("qid", F.col("doc_id").alias("vec_id")).distinct()
     return S.rerank(cand, base, base.where(F.col("vec_id") % 100 == 0), K)
 
 
 def scope_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Part of all documents that the lexical stage leaves for reordering, per query."""
-    cand = _bm25(spark, d, 50).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_candidates"))
+    cand = _bm25(spark, d, BM25_LIMIT).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_candidates"))
     total = table(spark, d, "documents", "doc_id").agg(F.count("*")).scalar()
     return cand.select("qid", "n_candidates", F.round(F.col("n_candidates") / total, 9).alias("ratio"))
 

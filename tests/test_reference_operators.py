@@ -175,6 +175,28 @@ def test_bm25_prefers_rare_words_and_drops_self(spark, rows):
     assert got == [(1, None, 1, 4), (1, "x", 1, 2)]
 
 
+def test_bm25_folds_accents_on_both_sides(spark, rows):
+    docs = spark.createDataFrame([(1, "x", "Caf\u00e9 au lait"), (2, "x", "cafe\u0301 noir"), (3, "x", "CAFE"), (4, "x", "tea")], "doc_id long, lang string, text string")
+    q = spark.createDataFrame([(9, "caf\u00e8")], "qid long, title string")
+    assert rows(lexical.bm25(docs, q, "doc_id", "lang", "text", "title", 5), "doc_id") == [(1,), (2,), (3,)]
+
+
+def test_lexical_stage_keeps_200_of_titles_and_texts(spark, rows):
+    from quern.plans import threads
+
+    both = "strip_accents(lower(concat_ws(chr(10), title, text)))"
+    want = by_sql(threads.ORACLE["scope_ratio"], ("lower(coalesce(text, ''))", both), ("lower(coalesce(title, ''))", "strip_accents(lower(coalesce(title, '')))"), ("<= 50", "<= 200"))
+    got = rows(threads.scope_ratio(spark, "/root/testdata/sf0.01"))
+    assert [r[:2] for r in got] == sorted(r[:2] for r in want)
+
+
+def test_two_stages_keep_128_candidates(spark, rows):
+    from quern.plans import search
+
+    want = by_sql(search.ORACLE["recall_summary"], ("<= 64)", "<= 128)"))
+    assert rows(search.recall_summary(spark, "/root/testdata/sf0.01")) == want
+
+
 @pytest.mark.parametrize("raw, want", [("<p>a</P>b &amp;lt; &lt;c&gt;", "a\n\nb &lt; <c>"), (" x<i>y</i>\n ", "xy"), ("", ""), (None, None)])
 def test_html_to_text(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "t string")
