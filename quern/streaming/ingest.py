@@ -1,4 +1,4 @@
-"""Incremental ingestion: two cursors, idempotent batches, run log.
+"""Incremental ingestion: a single head cursor, idempotent batches, run log.
 
 The stream's checkpoint is the cursor: a batch counts once its rows, and the version that holds
 them, are published. Replaying a batch changes nothing, because rows whose id and content the
@@ -119,8 +119,8 @@ def feed_files(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFr
 def feed_source(max_id: Callable[[], int], fetch: Callable[[int], tuple | None], per_batch: int = 1000) -> type[DataSource]:
     """A streaming source over ids: ``max_id`` tells the newest, ``fetch`` gives a row or None for an id.
 
-    The offset is the last id taken, so a restart neither skips nor repeats one. Options: ``start``
-    (first id), ``floor`` and ``backfill`` are bounded batch ranges of ``id_ranges``.
+    The offset is the last id taken, so a restart neither skips nor repeats one. Option: ``start``
+    (first id).
     """
 
     class Reader(SimpleDataSourceStreamReader):
@@ -153,7 +153,7 @@ def feed_source(max_id: Callable[[], int], fetch: Callable[[int], tuple | None],
 
 
 def id_ranges(head: int, newest: int, backfill: int, head_origin: int, head_budget: int | None, backfill_budget: int | None) -> tuple[range, range]:
-    """The ids of one cycle: (head, newest] and then (backfill, head_origin], each cut to its budget.
+    """The ids of one cycle, which nothing runs yet: (head, newest] and then (backfill, head_origin], each cut to its budget.
 
     ``head_origin`` is frozen when ingestion starts, so the two never overlap. A budget of None is
     unbounded, one of 0 takes nothing.
