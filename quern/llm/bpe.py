@@ -4,7 +4,7 @@ The merges are read as a transducer over bytes. Its state after a byte is the la
 encoding of the bytes so far; that state exists and is unique, because the encoding of a prefix
 extended by a token is the encoding of the longer text exactly if the two tokens at the seam are
 what the merges would leave there. States are therefore never built from the merge list: a
-transition is found when a text first needs it and kept (lazy determinisation), seam tests are
+transition is searched for at every byte and not kept, so no automaton is determinised; seam tests are
 kept by token pair, and whole words by their text. A token is emitted as soon as every state that
 can still be extended agrees on it, which is at most the longest token's length behind.
 
