@@ -33,6 +33,7 @@ LOOKALIKES = """
 ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ ϜF οo νv ϲc ϳj
 ɑa ɡg ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs
 օo ՕO սu ՍU ոn հh ՏS ԼL
+ӕæ ӔÆ әə ӘƏ ÐĐ ƉĐ
 ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏃZ ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB
 ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU
 ‐- ‑- ˗- ⁃- −– ‒– ―— ʼ’ ʻ‘ ∕/ ⁄/ ∶: ꞉: ‚, ․. ∗* ∣| ǀ| ǃ! ∼~ ∙· ⋅· ‧· ∆Δ ∑Σ ∏Π ヘへ

@@ -263,3 +263,8 @@ def test_held_pieces_within_held_pieces_are_released():
     for i in range(9):
         at = h.hold(f"{i}{at}")
     assert h.release(at) == "876543210x"
+
+
+@pytest.mark.parametrize("pair", ["ӕæ", "ӔÆ", "әə", "ӘƏ", "ÐĐ", "ƉĐ"])
+def test_letters_drawn_alike_fold_together(pair):
+    assert lookalike.fold(pair[0]) == lookalike.fold(pair[1])
