@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, lookalike, markup, packing, quantiles, similar
+from quern.llm import bpe, lookalike, markup, packing, quantiles, similar, wrapper
 from quern.tables import table
 
 
@@ -66,11 +66,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     """Clean text of every item, once, and of every delivery."""
-    item = markup.clean_column(table(spark, d, "item", "id", "text"), "id", "text").groupBy("id").agg(F.min("text").alias("text"))
-    feed = markup.clean_column(table(spark, d, "hnitem", "seq", "text"), "seq", "text").select(F.col("seq").alias("id"), "text")
+    item = markup.clean_column(table(spark, d, "item", "id", "text", "type"), "id", "text", "type").groupBy("id").agg(F.min("text").alias("text"))
+    feed = markup.clean_column(table(spark, d, "hnitem", "seq", "text", "shard"), "seq", "text", "shard").select(F.col("seq").alias("id"), "text")
     return item.select(F.lit("item").alias("src"), "id", "text").unionByName(feed.select(F.lit("hnitem").alias("src"), "id", "text"))
 
 
+def p7_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    """Per host (shard of the feed, type of the store): sampled trees, nodes of the wrapper and constant texts among them."""
+    rows = None
+    for name, key, host in (("item", "id", "type"), ("hnitem", "seq", "shard")):
+        found = wrapper.wrappers(table(spark, d, name, key, "text", host), key, "text", host)
+        found = found.select(F.lit(name).alias("src"), F.col("q_host").alias("host"), F.col("q_pages").alias("n_trees"), F.col("q_nodes").alias("n_nodes"), F.col("q_constant").alias("n_constant"))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
@@ -90,7 +100,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_column(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_months, p1_within_bound, p5_found, p7_found, p7_clean, p8_ids, p9_packed, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_months, p1_within_bound, p5_found, p7_found, p7_clean, p7_wrappers, p8_ids, p9_packed, p10_found, p10_forms)}
 
 _VALUES = """
 WITH v AS (SELECT 'perquery' AS src, engine AS name, param, latence_ms AS v FROM perquery
