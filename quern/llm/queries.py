@@ -95,12 +95,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_to_a_reader(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document with a text: its class of texts that look the same, and its links to other texts."""
+    return lookalike.classes(table(spark, d, "documents", "doc_id", "text"), "doc_id")
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every text."""
     return lookalike.canonical_column(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_months, p1_within_bound, p5_found, p7_found, p7_clean, p7_wrappers, p8_ids, p9_packed, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_months, p1_within_bound, p5_found, p7_found, p7_clean, p7_wrappers, p8_ids, p9_packed, p10_found, p10_classes, p10_forms)}
 
 _VALUES = """
 WITH v AS (SELECT 'perquery' AS src, engine AS name, param, latence_ms AS v FROM perquery
