@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.storage import Scratch
@@ -33,6 +34,8 @@ from quern.storage import Scratch
 CAPACITY = 2048
 #: Expected documents per ranked bucket of the largest possible size class.
 BUCKET_ROWS = 200_000
+#: Most runs of the plan in one broadcast (24 bytes each), unless a single size has more.
+PLAN_RUNS = 1_000_000
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -115,18 +118,40 @@ def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("n_tokens", "q_b").orderBy(key, "part"))
     ranked = items.withColumn("q_in", inside.cast("long") - 1).join(first, (F.col("n_tokens") == F.col("q_s")) & (F.col("q_b") == F.col("q_cb")))
     ranked = ranked.select(key, "part", "start", "n_tokens", (F.col("q_first") + F.col("q_in")).alias("q_rank"))
-    # runs of one size are in order of rank, so one number sorts them all
-    width = np.int64(max([1, *counts.values()]))
-    ordered = runs[np.lexsort((runs[:, 1], runs[:, 0]))] if len(runs) else runs
-    plan = spark.sparkContext.broadcast((ordered[:, 0] * width + ordered[:, 1], ordered[:, 1], ordered[:, 3], width))
-
-    @F.pandas_udf("long")
-    def container(size: pd.Series, rank: pd.Series) -> pd.Series:
-        at, ranks, containers, w = plan.value
-        i = np.searchsorted(at, size.to_numpy() * w + rank.to_numpy(), side="right") - 1
-        return pd.Series(containers[i] + rank.to_numpy() - ranks[i])
-
-    return ranked.select(container("n_tokens", "q_rank").alias("container"), key, "part", "start", "n_tokens")
+    parts = None
+    for low, high, lookup in _slices(spark, runs, max([1, *counts.values()])):
+        rows = ranked.where(F.col("n_tokens").between(low, high)).select(lookup("n_tokens", "q_rank").alias("container"), key, "part", "start", "n_tokens")
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
+def _slices(spark: SparkSession, runs: np.ndarray, most: int) -> Iterator[tuple[int, int, Callable]]:
+    """(least size, largest size, look-up of the container) of slices of the plan, each broadcast with at most PLAN_RUNS runs.
+
+    All runs of a size are in one slice. Runs of one size are in order of rank, so one number sorts them all.
+    """
+    ordered = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    sizes, first = np.unique(ordered[:, 0], return_index=True)
+    edges = [0]
+    for a, b in zip(first, [*first[1:], len(ordered)]):
+        if b - edges[-1] > PLAN_RUNS and a > edges[-1]:
+            edges.append(int(a))
+    width = np.int64(most)
+
+    def lookup(part: np.ndarray) -> Callable:
+        plan = spark.sparkContext.broadcast((part[:, 0] * width + part[:, 1], part[:, 1], part[:, 3]))
+
+        @F.pandas_udf("long")
+        def container(size: pd.Series, rank: pd.Series) -> pd.Series:
+            at, ranks, containers = plan.value
+            i = np.searchsorted(at, size.to_numpy() * width + rank.to_numpy(), side="right") - 1
+            return pd.Series(containers[i] + rank.to_numpy() - ranks[i])
+
+        return container
+
+    for a, b in zip(edges, [*edges[1:], len(ordered)]):
+        part = ordered[a:b]
+        yield (int(part[0, 0]), int(part[-1, 0]), lookup(part)) if len(part) else (0, 0, F.greatest)
 
 
 def contents(packed: DataFrame, key: str) -> DataFrame:

@@ -9,9 +9,11 @@ Error bound: one compaction at level h changes the rank of any value by 2**h or
 down with the same chance, and independently of the others. By Hoeffding's inequality the rank of
 an answer is off by at most ``sqrt(2 * V * ln(2 / delta))`` with probability 1 - delta, V being the
 sum of 4**h over the compactions made. V is kept in the sketch and adds up in merges, so the bound
-that is stated belongs to the sketch at hand; it is 0 while nothing has been forgotten.
+that is stated belongs to the sketch at hand; it is 0 while nothing has been forgotten. Delta is
+shared out among the percentiles that are asked for, so the stated confidence holds for all of
+them together.
 
-Defined results: null, NaN, infinite and negative values take no part; rows with null keys form
+Defined results: null, NaN and infinite values take no part, nor do those below ``least``; rows with null keys form
 groups of their own; repeated rows count as often as they occur; groups without values, and empty
 tables, give no row. A percentile is the smallest value whose rank is at least p * n.
 """
@@ -110,15 +112,16 @@ def _arrow_schema(df: DataFrame, keys: Sequence[str]) -> pa.Schema:
     return pa.schema([*fields, pa.field("q_n", pa.int64()), pa.field("q_var", pa.float64()), pa.field("q_levels", pa.list_(pa.list_(pa.float64())))])
 
 
-def day_sketches(df: DataFrame, keys: Sequence[str], day: Column, value: str, k: int = K) -> DataFrame:
+def day_sketches(df: DataFrame, keys: Sequence[str], day: Column, value: str, k: int = K, least: float | None = 0.0) -> DataFrame:
     """(*keys, day, q_n, q_var, q_levels): what is kept of each day.
 
     Every partition folds its rows into one sketch per group and day before anything is shuffled;
     a group that holds a third of all rows then costs as many small rows as there are partitions,
-    which meet in SALTS parts and then in one.
+    which meet in SALTS parts and then in one. ``least``: smaller values take no part; None keeps all.
     """
     v = F.col(value).cast("double")
-    rows = df.where((v >= 0) & ~F.isnan(v) & (v < float("inf"))).select(*keys, day.cast("date").alias("day"), v.alias("q_value"))
+    used = ~F.isnan(v) & (F.abs(v) < float("inf"))
+    rows = df.where(used if least is None else used & (v >= least)).select(*keys, day.cast("date").alias("day"), v.alias("q_value"))
     by = [*keys, "day"]
     arrow = _arrow_schema(rows, by)
 
@@ -180,7 +183,9 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], k: int = K) -> Data
             s.merge(n, var, [np.asarray(v, dtype=np.float64) for v in levels])
         return pa.Table.from_batches([_to_batch([(*names, s.n, s.var, s.levels)], arrow)])
 
-    rows = sketches.select(*keys, "q_n", "q_var", "q_levels")
+    spark = sketches.sparkSession
+    # a stated number of partitions, because sketches are small and would be gathered in a few tasks
+    rows = sketches.select(*keys, "q_n", "q_var", "q_levels").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     return rows.groupBy(*keys).applyInArrow(merge, f"{_schema(sketches, keys)}, {SKETCH}")
 
 
@@ -195,7 +200,7 @@ def percentiles(sketches: DataFrame, keys: Sequence[str], ps: Sequence[float] =
         for a, b, c in zip(n, var, levels):
             s = Sketch(_seed(0), k)
             s.n, s.var, s.levels = int(a), float(b), [np.asarray(v, dtype=np.float64) for v in c]
-            out.append((*s.quantiles(ps), s.rank_error(delta)))
+            out.append((*s.quantiles(ps), s.rank_error(delta / len(ps))))
         return pd.DataFrame(out, columns=[*names, "rank_error"])
 
     merged = merge_sketches(rows, keys, k).withColumn("q_a", ask("q_n", "q_var", "q_levels"))

@@ -39,8 +39,8 @@ from quern.storage import Scratch
 
 K = 10
 FACTOR = 0.3
-#: Bounded sample on which the shards are fitted, and the least number of its vectors in a shard.
-SAMPLE, SAMPLE_PER_SHARD = 16_384, 32
+#: Sample on which the shards are fitted: at least SAMPLE vectors, with more shards SAMPLE_PER_SHARD of them for each, at most SAMPLE_MOST.
+SAMPLE, SAMPLE_PER_SHARD, SAMPLE_MOST = 16_384, 32, 262_144
 #: Most vectors a shard should have, fewest where more shards would keep more tasks busy, and the
 #: most queries that meet a shard in one task.
 SHARD_ROWS, LEAST_SHARD_ROWS, CHUNK_ROWS = 16_384, 2048, 32_768
@@ -225,11 +225,14 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, factor:
     groups = scratch.save(groups, "groups")
     index = all_rows.join(groups.select("rep", "members"), F.col("key") == F.col("rep")).select("key", "vector", "members")
     n = groups.count()
-    sample = index.select("key", "vector").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
     busy = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_SHARD_ROWS))
-    tree = ShardTree.fit(_matrix(sample["vector"], dim), max(busy, -(-n // SHARD_ROWS)))
+    wanted = max(busy, -(-n // SHARD_ROWS))
+    size = min(SAMPLE_MOST, max(SAMPLE, 2 * wanted * SAMPLE_PER_SHARD))  # twice, as the number of shards is a power of two
+    sample = index.select("key", "vector").orderBy(F.xxhash64("key"), "key").limit(size).toArrow()
+    tree = ShardTree.fit(_matrix(sample["vector"], dim), wanted)
     shards = 1 << tree.depth
-    shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / SAMPLE_PER_SHARD vectors
+    shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE_MOST / SAMPLE_PER_SHARD vectors
+    step = max(64, min(4096, (16 << 20) // shards))  # bounds the matrix of vectors and shards
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,8 +267,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, factor:
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 4096):
-                    b = batch.slice(a, 4096)
+                for a in range(0, batch.num_rows, step):
+                    b = batch.slice(a, step)
                     need = shared.value.needed(_matrix(b.column(1), dim))
                     need[np.arange(len(need)), b.column(2).to_numpy()] = np.inf
                     on = need <= _distance(b.column(3).to_numpy().astype(np.float64))[:, None] * factor + _EPS

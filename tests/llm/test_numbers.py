@@ -126,3 +126,16 @@ def test_few_and_no_vectors(spark):
     assert found(df.where("vec_id = 1"), dim=3) == {} and found(df.limit(0), dim=3) == {}
     same = frame(spark, range(20), np.ones((20, 3), dtype=np.float32))
     assert found(same, dim=3)[19] == list(range(10))
+
+
+def test_values_below_zero_where_they_are_wanted(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(-50, 51)], "k string, v double")
+    got = quantiles.percentiles(quantiles.day_sketches(df, ["k"], F.lit("2024-01-01"), "v", least=None), ["k"]).first()
+    assert (got.n, got.p50, got.p95) == (101, 0.0, 45.0)
+
+
+def test_the_bound_is_shared_out_among_the_percentiles(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    days = quantiles.day_sketches(df, ["k"], F.lit("2024-01-01"), "v", k=32)
+    one, three = (quantiles.percentiles(days, ["k"], ps, k=32).first().rank_error for ps in ((0.5,), (0.5, 0.95, 0.99)))
+    assert 0 < one < three
