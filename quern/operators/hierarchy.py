@@ -8,7 +8,7 @@
    Parallel list ranking by pointer jumping gives, of every list element, the sums of the weights
    up to the list's end. The +1/-1 sum is the depth, the element at the end names the root, and
    the position sums are the entry and exit of the node. A tour that runs through a circle has no
-   end: after as many rounds as the longest list needs, what is still unranked is circular. The
+   end: once a round finishes no element, what is still unranked is circular. The
    nodes on the circles are found by following parents often enough; what hangs below them is
    ranked again as trees of its own, so only the circles themselves have no interval.
 3. The peeled layers come back in reverse order; a node's interval lies inside its parent's.
@@ -25,31 +25,24 @@ chained in hash buckets whose number follows the number of nodes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quern.storage import Scratch
 
-#: Peeling ends when one task can rank the tours of the inner nodes, when these are fewer than this
-#: part of all nodes,
-CORE_PART = 1 / 64
-#: or when a round takes less than this part of them.
+#: Peeling ends when the inner nodes are fewer than this part of all nodes,
+CORE_PART = 1 / 10
+#: or when a round takes less than this part of what is left.
 LEAST_SHRINK = 0.1
 #: Expected siblings per chained bucket of the largest possible group.
 BUCKET_ROWS = 200_000
-#: Lists of up to so many elements (a few ten MB) are ranked by one task; longer ones by joins.
-LOCAL_ELEMENTS = 500_000
 
 
 @dataclass
 class _Run:
     scratch: Scratch
-    local: int = LOCAL_ELEMENTS
     nodes: int = 0
     buckets: int = 1
 
@@ -66,6 +59,14 @@ def _counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     return df.observe(seen, *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in counts.items()]), seen
 
 
+#: The inner nodes of (id, parent, acc, leaf), with the sizes of the leaves below them added.
+_WITHOUT_LEAVES = """
+WITH kids AS (SELECT parent AS up, coalesce(sum(CASE WHEN leaf THEN acc + 1 END), 0) AS add, count_if(NOT leaf) AS inner_kids
+              FROM {state} WHERE parent IS NOT NULL GROUP BY parent)
+SELECT id, parent, acc + add AS acc, inner_kids = 0 AS leaf FROM {state} JOIN kids ON id = up WHERE NOT leaf
+"""
+
+
 def _peel(nodes: DataFrame, run: _Run) -> tuple[list[DataFrame], DataFrame]:
     """Layers of (id, parent, size), outermost first, and the core (id, parent, acc)."""
     kids = nodes.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("q_p")).agg(F.count("*").alias("q_n"))
@@ -78,14 +79,10 @@ def _peel(nodes: DataFrame, run: _Run) -> tuple[list[DataFrame], DataFrame]:
         if r == 0:
             run.nodes = leaves + inner
             run.buckets = 1 + run.nodes // BUCKET_ROWS
-        layers.append(state.where("leaf").select("id", "parent", (F.col("acc") + 1).alias("size")))
-        size = F.when(F.col("leaf"), F.col("acc") + 1)
-        kids = state.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("q_p"))
-        kids = kids.agg(F.coalesce(F.sum(size), F.lit(0)).alias("q_add"), F.count_if(~F.col("leaf")).alias("q_inner"))
-        rest = state.where(~F.col("leaf")).join(kids, F.col("id") == F.col("q_p"))
-        rest = rest.select("id", "parent", (F.col("acc") + F.col("q_add")).alias("acc"), (F.col("q_inner") == 0).alias("leaf"))
+        layers.append(state.where("leaf").selectExpr("id", "parent", "acc + 1 AS size"))
+        rest = state.sparkSession.sql(_WITHOUT_LEAVES, state=state)
         r += 1
-        if 2 * inner <= run.local or inner <= run.nodes * CORE_PART or leaves < LEAST_SHRINK * (leaves + inner):
+        if inner <= run.nodes * CORE_PART or leaves < LEAST_SHRINK * (leaves + inner):
             return layers, run.scratch.save(rest.drop("leaf"), "core")
         state = rest
 
@@ -116,97 +113,79 @@ def _siblings(rows: DataFrame, run: _Run, value: str) -> DataFrame:
 
 
 def euler_tour(core: DataFrame, run: _Run) -> DataFrame:
-    """The linked lists (e, nxt, pos, dep, tail) of the tours over (id, parent, acc).
+    """The linked lists (e, side, nxt, n_side, pos, dep, tail) of the tours over (id, parent, acc).
 
-    Element 2*id enters a node and 2*id+1 leaves it. Entering counts the places that the node's
-    peeled subtrees will take.
+    An element is a node and a side, 0 to enter it and 1 to leave it. Entering counts the places
+    that the node's peeled subtrees will take. A list ends with leaving its root, the ``tail``.
     """
     ids = core.select(F.col("id").alias("q_pid"))
     known = core.where(F.col("parent").isNotNull()).join(ids, F.col("parent") == F.col("q_pid")).select("id", "parent").withColumn("q_one", F.lit(1).cast("long"))
     linked = _siblings(known, run, "q_one").select("id", "parent", "q_next", "q_off")
     first = linked.where(F.col("q_off") == 0).select(F.col("parent").alias("q_fp"), F.col("id").alias("q_first"))
+    one = F.lit(1).cast("long")
     enter = core.join(first, F.col("id") == F.col("q_fp"), "left")
-    enter = enter.select((F.col("id") * 2).alias("e"), F.coalesce(F.col("q_first") * 2, F.col("id") * 2 + 1).alias("nxt"), (F.col("acc") * 2 + 1).alias("pos"), F.lit(1).cast("long").alias("dep"))
+    enter = enter.select(
+        F.col("id").alias("e"), F.lit(0).alias("side"), F.coalesce("q_first", "id").alias("nxt"), F.when(F.col("q_first").isNull(), 1).otherwise(0).alias("n_side"), (F.col("acc") * 2 + 1).alias("pos"), one.alias("dep")
+    )
     leave = core.select("id").join(linked.select(F.col("id").alias("q_id"), "parent", "q_next"), F.col("id") == F.col("q_id"), "left")
-    leave = leave.select((F.col("id") * 2 + 1).alias("e"), F.coalesce(F.col("q_next") * 2, F.col("parent") * 2 + 1).alias("nxt"), F.lit(1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("dep"))
-    rows = enter.unionByName(leave)
-    return rows.withColumn("tail", F.when(F.col("nxt").isNull(), F.col("e")))
-
-
-def _rank_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same jumps over arrays, for lists whose length was checked."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    e, pos, dep = (t[c].to_numpy().copy() for c in ("e", "pos", "dep"))
-    order = np.argsort(e)
-    has = ~np.asarray(t["nxt"].is_null())
-    to = np.full(len(e), -1, dtype=np.int64)
-    to[has] = order[np.searchsorted(e[order], t["nxt"].drop_null().to_numpy())]
-    tail = e.copy()
-    for _ in range(len(e).bit_length()):
-        some = np.flatnonzero(to >= 0)
-        if not len(some):
-            break
-        ahead = to[some]
-        pos[some], dep[some], tail[some], to[some] = pos[some] + pos[ahead], dep[some] + dep[ahead], tail[ahead], to[ahead]
-    open_ = to >= 0
-    columns = [pa.array(e), pa.array(e[to], mask=~open_), pa.array(pos), pa.array(dep), pa.array(tail, mask=open_)]
-    yield from pa.table(columns, names=["e", "nxt", "pos", "dep", "tail"]).to_batches(100_000)
+    leave = leave.select(F.col("id").alias("e"), F.lit(1).alias("side"), F.coalesce("q_next", "parent").alias("nxt"), F.when(F.col("q_next").isNull(), 1).otherwise(0).alias("n_side"), one.alias("pos"), (-one).alias("dep"))
+    return enter.unionByName(leave).withColumn("tail", F.when(F.col("nxt").isNull(), F.col("e")))
+
+
+#: In SQL, because the rounds are many and each expression of the column API is a call to the JVM.
+_TWO_JUMPS = """
+WITH one AS (SELECT a.e, a.side, b.nxt, b.n_side, a.pos + b.pos AS pos, a.dep + b.dep AS dep, b.tail
+             FROM {rows} a JOIN {rows} b ON a.nxt = b.e AND a.n_side = b.side)
+SELECT * FROM {rows} WHERE nxt IS NULL
+UNION ALL
+SELECT a.e, a.side, b.nxt, b.n_side, a.pos + coalesce(b.pos, 0), a.dep + coalesce(b.dep, 0), coalesce(b.tail, a.tail)
+FROM one a LEFT JOIN {rows} b ON a.nxt = b.e AND a.n_side = b.side
+"""
 
 
 def rank_lists(rows: DataFrame, run: _Run, name: str = "rank") -> DataFrame:
     """Pointer jumping: ``pos`` and ``dep`` become sums up to the list's end and ``tail`` its last element.
 
-    A round doubles the reach of every element, so lists of n elements need log2(n) rounds;
-    elements whose ``nxt`` is not null after that are on circular lists.
+    A round makes two jumps, which triples the reach of every element, so lists of n elements need
+    log3(n) rounds. The elements of a list have all distances up to its length, so when a round
+    finishes none, every list with an end is done, and elements whose ``nxt`` is not null are on
+    circular ones.
     """
-    rows, seen = _counted(rows, open=F.col("nxt").isNotNull(), all=F.lit(1))
+    rows, seen = _counted(rows, open=F.col("nxt").isNotNull())
     rows = run.scratch.save(rows, f"{name}0")
-    left, r, rounds = seen.get["open"], 0, max(1, seen.get["all"]).bit_length()
-    if seen.get["all"] <= run.local:
-        return rows.coalesce(1).mapInArrow(_rank_here, "e bigint, nxt bigint, pos bigint, dep bigint, tail bigint")
-    while left and r < rounds:
-        ahead = rows.select(F.col("e").alias("q_e"), F.col("nxt").alias("q_nxt"), F.col("pos").alias("q_pos"), F.col("dep").alias("q_dep"), F.col("tail").alias("q_tail"))
-        moved = rows.where(F.col("nxt").isNotNull()).join(ahead, F.col("nxt") == F.col("q_e"))
-        moved = moved.select("e", F.col("q_nxt").alias("nxt"), (F.col("pos") + F.col("q_pos")).alias("pos"), (F.col("dep") + F.col("q_dep")).alias("dep"), F.col("q_tail").alias("tail"))
-        new, seen = _counted(rows.where(F.col("nxt").isNull()).unionByName(moved), open=F.col("nxt").isNotNull())
+    left, r = seen.get["open"], 0
+
+    while left:
+        new, seen = _counted(rows.sparkSession.sql(_TWO_JUMPS, rows=rows), open=F.col("nxt").isNotNull())
         r += 1
         rows = run.scratch.save(new, f"{name}{r}")
-        left = seen.get["open"]
+        before, left = left, seen.get["open"]
         run.scratch.drop(f"{name}{r - 1}")
+        if left == before:
+            break
     return rows
 
 
-def _circles_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same over arrays."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    ids = t["id"].to_numpy()
-    order = np.argsort(ids)
-    to = order[np.searchsorted(ids[order], t["nxt"].to_numpy())]
-    for _ in range(len(ids).bit_length()):
-        to = to[to]
-    yield from pa.table([pa.array(ids[np.unique(to)])], names=["on"]).to_batches(100_000)
-
-
 def _on_circles(rows: DataFrame, count: int, run: _Run) -> DataFrame:
     """(on): the ids on circles, of (id, nxt) in which every id leads into one.
 
-    After at least ``count`` steps every id has come to its circle, and every id of a circle is
-    reached by one of them; a round doubles the steps.
+    After at least as many steps as the longest way in has, every id has come to its circle, and
+    every id of a circle is reached by one of them; a round doubles the steps. The ids that are
+    reached become fewer as long as some way is longer than the steps so far.
     """
-    if count <= run.local:
-        return run.scratch.save(rows.coalesce(1).mapInArrow(_circles_here, "on bigint"), "on")
-    for r in range(count.bit_length()):
-        ahead = rows.select(F.col("id").alias("q_id"), F.col("nxt").alias("q_nxt"))
-        rows = run.scratch.save(rows.join(ahead, F.col("nxt") == F.col("q_id")).select("id", F.col("q_nxt").alias("nxt")), f"circle{r}")
+    reached = count + 1
+    for r in range(count.bit_length() + 1):
+        on, seen = _counted(rows.select(F.col("nxt").alias("on")).distinct(), n=F.lit(1))
+        on = run.scratch.save(on, f"on{r}")
+        if r:
+            run.scratch.drop(f"on{r - 1}")
+        if seen.get["n"] == reached:
+            break
+        reached = seen.get["n"]
+        rows = run.scratch.save(rows.sparkSession.sql("SELECT a.id, b.nxt FROM {rows} a JOIN {rows} b ON a.nxt = b.id", rows=rows), f"circle{r}")
         if r:
             run.scratch.drop(f"circle{r - 1}")
-    return run.scratch.save(rows.select(F.col("nxt").alias("on")).distinct(), "on")
+    return on
 
 
 def _below_circles(done: DataFrame, core: DataFrame, count: int, run: _Run) -> DataFrame:
@@ -223,17 +202,16 @@ def _below_circles(done: DataFrame, core: DataFrame, count: int, run: _Run) -> D
     own = own.select(F.col("id").alias("q_id"), F.col("top").alias("q_top"), F.col("entry").alias("q_entry"), F.col("exit").alias("q_exit"))
     rows = done.join(own, F.col("id") == F.col("q_id"), "left")
     new = {c: F.coalesce(F.col(c), F.col(f"q_{c}")).alias(c) for c in ("top", "entry", "exit")}
-    return run.scratch.save(rows.select(*[new.get(c, F.col(c)) for c in done.columns]), "tree/whole")
+    return run.scratch.save(rows.select(*[new.get(c, F.col(c)) for c in done.columns]), "below_tree")
 
 
 def _core_result(core: DataFrame, ranked: DataFrame) -> DataFrame:
-    side = F.pmod(F.col("e"), F.lit(2))
-    done = F.col("nxt").isNull()
-    node = ranked.groupBy(F.floor(F.col("e") / 2).cast("long").alias("q_id")).agg(
-        F.max(F.when((side == 0) & done, F.floor(F.col("tail") / 2))).cast("long").alias("tree_id"),
-        F.max(F.when((side == 0) & done, -F.col("dep"))).alias("level"),
-        F.max(F.when((side == 0) & done, -F.col("pos"))).alias("entry"),
-        F.max(F.when((side == 1) & done, -F.col("pos"))).alias("exit"),
+    enters, leaves = F.col("nxt").isNull() & (F.col("side") == 0), F.col("nxt").isNull() & (F.col("side") == 1)
+    node = ranked.groupBy(F.col("e").alias("q_id")).agg(
+        F.max(F.when(enters, F.col("tail"))).alias("tree_id"),
+        F.max(F.when(enters, -F.col("dep"))).alias("level"),
+        F.max(F.when(enters, -F.col("pos"))).alias("entry"),
+        F.max(F.when(leaves, -F.col("pos"))).alias("exit"),
     )
     rows = core.select("id", "parent").join(node, F.col("id") == F.col("q_id")).drop("q_id")
     missing = rows.where(F.col("id") == F.col("tree_id")).where(F.col("parent").isNotNull()).select(F.col("tree_id").alias("q_m"))
@@ -242,7 +220,19 @@ def _core_result(core: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.select("id", "tree_id", F.col("tree_id").alias("top"), "level", "entry", "exit", ending.alias("ending"))
 
 
-def build_trees(df: DataFrame, key: str = "id", parent: str = "parent", local: int = LOCAL_ELEMENTS) -> DataFrame:
+#: Peeled nodes inside the intervals of their parents. Without ``top`` the parent is on a circle or not in the table.
+_BELOW_PARENTS = """
+WITH rows AS (SELECT b.*, u.id IS NULL AS lost, u.tree_id, u.top, u.level, u.ending,
+                     CASE WHEN u.top IS NULL THEN -2 * b.size ELSE u.entry + 1 + 2 * b.q_off END AS entry
+              FROM {below} b LEFT JOIN {up} u ON b.parent = u.id WHERE b.q_layer = {layer})
+SELECT id, parent, CASE WHEN lost THEN id ELSE tree_id END AS tree_id, coalesce(top, id) AS top,
+       CASE WHEN lost THEN 0L ELSE level + 1 END AS level, entry, entry + 2 * size - 1 AS exit, size,
+       CASE WHEN lost THEN 'missing' ELSE ending END AS ending
+FROM rows
+"""
+
+
+def build_trees(df: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """(id, parent, tree_id, top, level, entry, exit, size, ending) of every id.
 
     ``ending``: 'root' if following the parents reaches a node without one, 'missing' if it
@@ -250,39 +240,40 @@ def build_trees(df: DataFrame, key: str = "id", parent: str = "parent", local: i
     topmost node and ``level`` the steps to it; on the way into a circle both are null. ``top`` is
     the topmost node whose tour entry and exit belong to: ``tree_id``, or on the way into a circle
     the last node before it. ``size`` is the number of nodes of the subtree. On a circle ``top``,
-    entry, exit and size are null. ``local``: list elements up to which one task ranks the tours.
+    entry, exit and size are null.
     """
-    run = _Run(Scratch(df.sparkSession, "hierarchy"), local)
+    run = _Run(Scratch(df.sparkSession, "hierarchy"))
     nodes = tree_nodes(df, key, parent)
     layers, core = _peel(nodes, run)
     ranked = rank_lists(euler_tour(core, run), run)
     top = core.select(F.col("id").alias("q_id"), "parent").join(_core_result(core, ranked), F.col("id") == F.col("q_id")).drop("q_id")
     top, seen = _counted(top, circular=F.col("ending") == "cycle")
-    done = run.scratch.save(top, "tree/core")
+    done = run.scratch.save(top, "core_tree")
     if seen.get["circular"]:
         done = _below_circles(done, core, seen.get["circular"], run)
     done = done.withColumn("size", ((F.col("exit") - F.col("entry") + 1) / 2).cast("long"))
     columns = ["id", "parent", "tree_id", "top", "level", "entry", "exit", "size", "ending"]
-    done = done.select(*columns)
+    done = run.scratch.save(done.select(*columns), "tree/whole")
+    found = ["tree/whole"]
     peeled = None
     for r, layer in enumerate(layers):
         rows = layer.withColumn("q_layer", F.lit(r))
         peeled = rows if peeled is None else peeled.unionByName(rows)
-    single = peeled.where(F.col("parent").isNull()).select("id", "parent", F.col("id").alias("tree_id"), F.col("id").alias("top"), F.lit(0).cast("long").alias("level"), (-2 * F.col("size")).alias("entry"), F.lit(-1).cast("long").alias("exit"), "size", F.lit("root").alias("ending"))
-    done = done.unionByName(run.scratch.save(single.select(*columns), "tree/single"))
+    single = peeled.where(F.col("parent").isNull()).select("id", "parent", F.col("id").alias("tree_id"), F.col("id").alias("top"), F.lit(0).cast("long").alias("level"), (-2 * F.col("size")).alias("entry"), F.lit(-1).cast("long").alias("exit"), "size", F.lit("root").alias("ending"), "q_layer")
+    for name, some in (("tree/tops", F.col("q_layer") > 0), ("tree/lone", F.col("q_layer") == 0)):
+        run.scratch.save(single.where(some).select(*columns), name)
+    found.append("tree/tops")
     below = _siblings(peeled.where(F.col("parent").isNotNull()), run, "size").select("id", "parent", "size", "q_off", "q_layer")
     below = run.scratch.save(below, "below")
     for r in reversed(range(len(layers))):
-        up = done.select(F.col("id").alias("q_pid"), F.col("tree_id").alias("q_tree"), F.col("top").alias("q_top"), F.col("level").alias("q_level"), F.col("entry").alias("q_entry"), F.col("ending").alias("q_ending"))
-        rows = below.where(F.col("q_layer") == r).join(up, F.col("parent") == F.col("q_pid"), "left")
-        lost = F.col("q_pid").isNull()
-        first = F.col("q_top").isNull()  # the parent is on a circle, or not in the table
-        entry = F.when(first, -2 * F.col("size")).otherwise(F.col("q_entry") + 1 + 2 * F.col("q_off"))
-        rows = rows.select("id", "parent", F.when(lost, F.col("id")).otherwise(F.col("q_tree")).alias("tree_id"), F.when(first, F.col("id")).otherwise(F.col("q_top")).alias("top"), F.when(lost, 0).otherwise(F.col("q_level") + 1).cast("long").alias("level"), entry.alias("entry"), (entry + 2 * F.col("size") - 1).alias("exit"), "size", F.when(lost, "missing").otherwise(F.col("q_ending")).alias("ending"))
-        done = done.unionByName(run.scratch.save(rows.select(*columns), f"tree/layer{r}"))
+        up = run.scratch.read(found, done)
+        rows = up.sparkSession.sql(_BELOW_PARENTS, below=below, up=up, layer=r)
+        run.scratch.save(rows.select(*columns), f"tree/layer{r}")
+        found.append(f"tree/layer{r}")
+    found.append("tree/lone")
     for r in range(len(layers)):
         run.scratch.drop(f"peel{r}")
-    return done
+    return run.scratch.read(found, done)
 
 
 def stored_fields(tree: DataFrame) -> DataFrame:

@@ -50,9 +50,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Root, depth, intervals and number of descendants of every id."""
+    """Root, depth and number of descendants of every id; on a circle, and for the root of a way into one, null."""
     t = hierarchy.build_trees(table(spark, d, "item", "id", "parent"))
-    return t.select("id", "tree_id", "level", "entry", "exit", (F.col("size") - 1).alias("n_descendants"), "ending")
+    return t.select("id", "tree_id", "level", (F.col("size") - 1).alias("n_descendants"), "ending")
+
+
+def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Of every id below one with an interval: whether its own lies inside, and is as long as its subtree."""
+    t = hierarchy.build_trees(table(spark, d, "item", "id", "parent"))
+    up = t.where(F.col("entry").isNotNull()).select(F.col("id").alias("q_id"), F.col("top").alias("q_top"), F.col("entry").alias("q_in"), F.col("exit").alias("q_out"))
+    rows = t.join(up, F.col("parent") == F.col("q_id"))
+    inside = (F.col("top") == F.col("q_top")) & (F.col("q_in") < F.col("entry")) & (F.col("exit") < F.col("q_out"))
+    return rows.select("id", (inside & (F.col("exit") - F.col("entry") + 1 == 2 * F.col("size"))).alias("inside"))
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +93,7 @@ def p6_thread_span(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("root_id").agg(F.count("*").alias("n_rows"), F.max("lag").alias("max_lag"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_tree, p4_paths, p6_found, p6_threads, p6_thread_span)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_tree, p4_intervals, p4_paths, p6_found, p6_threads, p6_thread_span)}
 
 _ORPHANS = """
 WITH refs AS (SELECT 'item' AS src, id, parent, ts FROM item UNION ALL SELECT 'pending', id, parent, ts FROM pending),
@@ -102,6 +111,11 @@ walk AS (
 tree AS (SELECT n.id, n.parent, w.tree_id, w.level, coalesce(w.ending, 'cycle') AS ending FROM n LEFT JOIN walk w ON n.id = w.id)
 """
 
+# every id with all ids above it; UNION keeps pairs once, so it ends on circles
+_UP = """, up AS (SELECT id, parent AS above FROM n WHERE parent IN (SELECT id FROM n)
+  UNION SELECT u.id, n.parent FROM up u JOIN n ON u.above = n.id WHERE n.parent IN (SELECT id FROM n))
+"""
+
 ORACLE = {
     "p2_found": _ORPHANS + "SELECT DISTINCT src, id FROM lost",
     "p2_report": _ORPHANS + "SELECT src, strftime(make_timestamp(ts * 1000000), '%Y-%m') AS month, count(DISTINCT id) AS n_records, count(DISTINCT parent) AS n_missing FROM lost GROUP BY 1, 2",
@@ -119,6 +133,13 @@ WHERE n.id > r.head_pos OR o.id IS NULL OR n.type IS DISTINCT FROM o.type OR n.t
   CASE WHEN ending = 'root' THEN level ELSE 0 END::INTEGER AS depth, CASE WHEN ending = 'root' THEN 0 ELSE 1 END AS orphan, ending FROM tree)
 SELECT DISTINCT w.id, w.root_id, w.depth, w.ending FROM item i JOIN want w ON i.id = w.id
 WHERE i.root_id IS DISTINCT FROM w.root_id OR i.depth IS DISTINCT FROM w.depth OR i.orphan IS DISTINCT FROM w.orphan""",
+    "p4_tree": _TREE + _UP + """
+, n_below AS (SELECT above, count(*) AS n FROM up GROUP BY above), circle AS (SELECT id FROM up WHERE id = above)
+SELECT t.id, t.tree_id, t.level, CASE WHEN t.id NOT IN (SELECT id FROM circle) THEN coalesce(b.n, 0) END AS n_descendants, t.ending
+FROM tree t LEFT JOIN n_below b ON t.id = b.above""",
+    "p4_intervals": _TREE + _UP + """
+, circle AS (SELECT id FROM up WHERE id = above)
+SELECT id, true AS inside FROM n WHERE parent IN (SELECT id FROM n) AND parent NOT IN (SELECT id FROM circle)""",
     "p4_paths": """
 WITH RECURSIVE n AS (SELECT id, min(nullif(parent, 0)) AS parent FROM item WHERE id IS NOT NULL GROUP BY id),
 walk AS (SELECT n.id, n.id::VARCHAR AS path FROM n WHERE n.parent IS NULL OR n.parent NOT IN (SELECT id FROM n)

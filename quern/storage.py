@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a table and reading it back, so that a lost
 executor costs at most the step that is running. The folder is ``spark.checkpoint.dir`` of the
-session; only where that is unset (tests, a laptop) a temporary folder is made and set.
+session; only where that is unset in local mode (tests, a laptop) a temporary folder is made and
+set. On a cluster an unset folder is an error, because executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,8 +55,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.read(name, df)
 
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
+    def read(self, name: str | list[str], like: DataFrame) -> DataFrame:
+        """One scan over a table, or over several of one schema."""
+        names = [name] if isinstance(name, str) else name
+        return self.spark.read.schema(like.schema).parquet(*[f"{self.root}/{n}" for n in names])
 
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.root}/{name}")

@@ -125,9 +125,9 @@ def walk(pairs):
     return out
 
 
-def check_trees(spark, pairs, **kw):
+def check_trees(spark, pairs):
     df = spark.createDataFrame(pairs, "id long, parent long").withColumn("size", F.lit("x")).withColumn("leaf", F.lit(1))
-    tree = hierarchy.build_trees(df, **kw).persist()
+    tree = hierarchy.build_trees(df).persist()
     got = {r.id: (r.root_id, r.depth, r.ending) for r in hierarchy.stored_fields(tree).collect()}
     assert got == walk(pairs)
     nodes = {r.id: r for r in tree.collect()}
@@ -142,15 +142,17 @@ def check_trees(spark, pairs, **kw):
     return tree
 
 
-@pytest.mark.parametrize("local", [500_000, 0])
-def test_trees_with_chain_star_cycle_and_missing(spark, local):
+@pytest.mark.parametrize("part", [1 / 64, 0.9, 0.0])
+def test_trees_with_chain_star_cycle_and_missing(spark, monkeypatch, part):
+    monkeypatch.setattr(hierarchy, "CORE_PART", part)
     pairs = [(1, 0), (2, None)]
     pairs += [(10 + i, 9 + i if i else 1) for i in range(70)]  # chain below 1, longer than any fixed cap
     pairs += [(200 + i, 2) for i in range(120)]  # star below 2
     pairs += [(400, 402), (401, 400), (402, 401), (403, 402), (404, 403), (405, 405)]  # circles and what leads into them
     pairs += [(500, 999), (501, 500), (502, 501), (503, 999)]
     pairs += [(600, 700), (700, 0), (600, 700), (700, 0), (None, 1)]
-    check_trees(spark, pairs, local=local)
+    check_trees(spark, pairs)
+    check_trees(spark, [(i + (1 << 62), p and p + (1 << 62)) for i, p in pairs if i])  # ids beyond 2**62
 
 
 def test_trees_of_random_parents(spark):
@@ -166,7 +168,7 @@ def test_trees_of_an_empty_table(spark, rows):
 def test_siblings_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "BUCKET_ROWS", 25)
     monkeypatch.setattr(hierarchy, "CORE_PART", 0.9)
-    check_trees(spark, [(1, 0), *[(10 + i, 1) for i in range(80)], *[(200 + i, 10 + i % 7) for i in range(60)]], local=0)
+    check_trees(spark, [(1, 0), *[(10 + i, 1) for i in range(80)], *[(200 + i, 10 + i % 7) for i in range(60)]])
 
 
 def test_paths_ancestors_and_descendants(spark, rows):
@@ -178,8 +180,9 @@ def test_paths_ancestors_and_descendants(spark, rows):
     assert rows(hierarchy.descendants_of(tree, ask), "id", "descendant") == [(1, 2), (1, 3), (1, 4)]
 
 
-@pytest.mark.parametrize("local", [500_000, 40, 0])
-def test_subtrees_below_circles_whatever_the_peeling(spark, rows, local):
+@pytest.mark.parametrize("part", [1 / 64, 0.9, 0.0])
+def test_subtrees_below_circles_whatever_the_peeling(spark, rows, monkeypatch, part):
+    monkeypatch.setattr(hierarchy, "CORE_PART", part)
     pairs = [(1, 2), (2, 3), (3, 1), (8, 8), (20, 0), (21, 20), (22, 21), (23, 22)]  # two circles, a tree
     pairs += [(100, 1), (101, 100), (102, 101), (103, 101), (104, 103), (105, 100), (106, 1), (107, 106), (110, 8), (111, 8), (112, 111)]
     pairs += [(200 + i, 199 + i if i else 2) for i in range(40)]  # a chain into a circle
@@ -191,7 +194,7 @@ def test_subtrees_below_circles_whatever_the_peeling(spark, rows, local):
         while i not in on and at in parent and at not in on:
             up[i], at = [at, *up[i]], parent[at]
     below = {i: {j for j in parent if j not in on and i in up[j]} - {i} for i in parent}
-    tree = check_trees(spark, pairs, local=local)
+    tree = check_trees(spark, pairs)
     got = {r.id: r for r in tree.collect()}
     assert {i: r.size for i, r in got.items()} == {i: None if i in on else len(below[i]) + 1 for i in parent}
     assert {i: r.top for i, r in got.items()} == {i: None if i in on else up[i][0] for i in parent}
