@@ -25,12 +25,14 @@ chained in hash buckets whose number follows the number of nodes.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quern.storage import Scratch
+from quern.storage import Scratch, _fs, delete, shared_dir
 
 #: Peeling ends when the inner nodes are fewer than this part of all nodes,
 CORE_PART = 1 / 10
@@ -276,6 +278,28 @@ def build_trees(df: DataFrame, key: str = "id", parent: str = "parent") -> DataF
     return run.scratch.read(found, done)
 
 
+def kept_trees(df: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """``build_trees`` of a table of files, kept in the shared folder until one of the files changes.
+
+    The table is named by the paths, lengths and times of the files it was built from, and appears
+    under its name by one rename, so a build that fails leaves nothing and two builds agree.
+    """
+    spark = df.sparkSession
+    marks = []
+    for f in sorted(df.inputFiles()):
+        fs, p = _fs(spark, f)
+        status = fs.getFileStatus(p)
+        marks.append((f, status.getLen(), status.getModificationTime(), key, parent))
+    path = f"{shared_dir(spark)}/trees-{hashlib.sha256(repr(marks).encode()).hexdigest()[:32]}"
+    fs, final = _fs(spark, path)
+    if not fs.exists(final):
+        tmp = f"{path}.{uuid.uuid4().hex}"
+        build_trees(df, key, parent).write.parquet(tmp)
+        if fs.exists(final) or not fs.rename(_fs(spark, tmp)[1], final):
+            delete(spark, tmp)
+    return spark.read.parquet(path)
+
+
 def stored_fields(tree: DataFrame) -> DataFrame:
     """(id, root_id, depth, orphan, ending): what the thread store has to hold.
 

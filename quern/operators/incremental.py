@@ -12,9 +12,11 @@ counts (largest order columns); equal rows are one row; an empty source or targe
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +65,20 @@ def published_at_last_run(deliveries: DataFrame, runs: DataFrame, content: Seque
     return latest_version(seen, ["shard", "id"], ["fetched_at", "seq"], content)
 
 
+#: Parts of a target after which the next run writes them as one.
+COMPACT_PARTS = 16
+#: Seconds between the claim of a number and its manifest after which the run is taken for dead.
+CLAIM_SECONDS = 600
+
+
 class VersionedTarget:
     """A target table whose versions are published atomically.
 
     ``path/parts/<uuid>`` holds the rows of one run, ``path/manifests/<n>.json`` the parts of
-    version n. A version exists once its manifest has its name, which one rename without
-    overwriting gives; of two runs that race for a number one fails. Rows of a key in a later
-    part replace those in an earlier one.
+    version n. A run claims its number by creating ``claims/<n>`` with overwriting off, which one of
+    two racing runs cannot, and the version exists once its manifest has its name, by one rename.
+    Rows of a key in a later part replace those in an earlier one; after COMPACT_PARTS parts they
+    are written as one.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]) -> None:
@@ -112,11 +121,12 @@ class VersionedTarget:
         """Writes ``rows`` as a part and publishes the next version; returns its number."""
         m = self.manifest()
         part = uuid.uuid4().hex
+        compact = compact or len(m["parts"]) >= COMPACT_PARTS
         old = self.read() if compact else None
         if old is not None:
-            rows = changed(old, rows, self.keys, self.keys[0]).unionByName(rows, allowMissingColumns=True)
+            rows = changed(old, rows, self.keys[:-1], self.keys[-1]).unionByName(rows, allowMissingColumns=True)
         rows.write.parquet(f"{self.path}/parts/{part}")
-        n = m["version"] + 1
+        n = self._claim(m["version"])
         text = json.dumps({"version": n, "parts": [part] if compact else [*m["parts"], part]})
         fs, tmp = _fs(self.spark, f"{self.path}/manifests/.{part}.tmp")
         fs.mkdirs(tmp.getParent())
@@ -130,6 +140,18 @@ class VersionedTarget:
             raise RuntimeError(f"version {n} was published by another run")
         return n
 
+    def _claim(self, version: int) -> int:
+        """The number after ``version``, for one run only; a claim that led to nothing for CLAIM_SECONDS is taken over."""
+        n = version + 1
+        fs, p = _fs(self.spark, f"{self.path}/claims/{n:010d}")
+        if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > CLAIM_SECONDS:
+            fs.delete(p, False)
+        try:
+            fs.create(p, False).close()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {n} was claimed by another run") from e
+        return n
+
     def run(self, source: DataFrame, transform=lambda df: df, version: str = "version") -> int:
         """One incremental run: anti-join, transform, publish. A failure before the rename publishes nothing."""
         return self.publish(transform(self.pending(source, version)))

@@ -45,6 +45,25 @@ def apply_deltas(ledger: DataFrame | None, deltas: Sequence[DataFrame]) -> DataF
     return sums.where((F.col("refs") != 0) | (F.col("present") != 0))
 
 
+def change_deltas(rows: DataFrame, latest: DataFrame, key: str = "id", parent: str = "parent") -> list[DataFrame]:
+    """Deltas of a batch of changes against the stored ``rows`` of (key, parent).
+
+    ``latest``: (key, parent, deleted), one row per changed key. A deleted key takes its rows and
+    their references away, a new parent moves the reference of every row of its key, a key that is
+    not stored comes in with one row. Nothing else of ``rows`` is counted again.
+    """
+    new = latest.where(F.col(key).isNotNull()).select(F.col(key).alias("q_key"), F.col(parent).alias("q_parent"), F.coalesce("deleted", F.lit(False)).alias("q_gone"))
+    hit = rows.join(new, F.col(key) == F.col("q_key"))
+    gone = hit.where("q_gone")
+    moved = hit.where(~F.col("q_gone") & ~F.col(parent).eqNullSafe(F.col("q_parent")))
+    come = new.where(~F.col("q_gone")).join(rows.select(F.col(key).alias("q_have")).distinct(), F.col("q_key") == F.col("q_have"), "left_anti")
+    return [
+        existence_deltas(gone, key, -1), reference_deltas(gone, parent, -1),
+        reference_deltas(moved, parent, -1), reference_deltas(moved, "q_parent", 1),
+        existence_deltas(come, "q_key", 1), reference_deltas(come, "q_parent", 1),
+    ]
+
+
 def orphan_keys(ledger: DataFrame) -> DataFrame:
     """Keys that are referred to and do not exist."""
     return ledger.where((F.col("refs") > 0) & (F.col("present") <= 0)).select("ref_key")

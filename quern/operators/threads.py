@@ -65,16 +65,19 @@ def page(threads: DataFrame, number: int, size: int = 10, pos: str = "pos") -> D
     return threads.withColumn("q_page", F.least(F.lit(max(0, number)), last)).where((F.col(pos) > F.col("q_page") * size) & (F.col(pos) <= (F.col("q_page") + 1) * size)).drop("q_page")
 
 
-def resolve_pending(items: DataFrame, pending: DataFrame) -> DataFrame:
-    """(id, state, root_id, depth, orphan) of the pending ids that are not in ``items`` yet.
+def resolve_pending(trees: DataFrame, pending: DataFrame) -> DataFrame:
+    """(id, state, root_id, depth, orphan) of the pending ids that are not among the items yet.
+
+    ``trees``: the items' right tree fields, as ``hierarchy.stored_fields`` gives them; they are
+    read, not derived again, so an append costs what is pending.
 
     Pending rows form trees among themselves; the top of each either has no parent, or hangs on an
     item (then all of it is 'appended', below an orphan as orphans), or still waits ('pending').
     """
-    new = pending.join(items.select(F.col("id").alias("q_known")).distinct(), F.col("id") == F.col("q_known"), "left_anti")
+    new = pending.join(trees.select(F.col("id").alias("q_known")), F.col("id") == F.col("q_known"), "left_anti")
     t = hierarchy.build_trees(new)
     up = t.select(F.col("id").alias("q_top"), F.col("parent").alias("q_parent"))
-    have = hierarchy.stored_fields(hierarchy.build_trees(items)).select(F.col("id").alias("q_item"), F.col("root_id").alias("q_root"), F.col("depth").alias("q_depth"), F.col("orphan").alias("q_orphan"))
+    have = trees.select(F.col("id").alias("q_item"), F.col("root_id").alias("q_root"), F.col("depth").alias("q_depth"), F.col("orphan").alias("q_orphan"))
     rows = t.join(up, F.col("tree_id") == F.col("q_top"), "left").join(have, F.col("q_parent") == F.col("q_item"), "left")
     free, hung = F.col("ending") == "root", F.col("q_item").isNotNull()
     state = F.when(free | hung, "appended").otherwise("pending")

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import hierarchy, incremental, references, skew
+from quern.storage import Scratch
 from quern.tables import table
 
 CONTENT = ["type", "time", "title", "text", "parent", "dead", "deleted"]
 
 
 def _ledger(item: DataFrame, pending: DataFrame) -> DataFrame:
-    return references.apply_deltas(None, [references.existence_deltas(item, "id"), references.reference_deltas(item, "parent"), references.reference_deltas(pending, "parent")])
+    """The ledger of the items, kept as a table, and then the pending rows' references as a batch of changes."""
+    stored = references.apply_deltas(None, [references.existence_deltas(item, "id"), references.reference_deltas(item, "parent")])
+    stored = Scratch(item.sparkSession, "ledger").save(stored, "items")
+    return references.apply_deltas(stored, [references.reference_deltas(pending, "parent")])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,12 +32,25 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("src", month.alias("month")).agg(F.countDistinct("id").alias("n_records"), F.countDistinct("parent").alias("n_missing"))
 
 
+def p2_after_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Missing keys and their references after the feed's changes are applied to the kept ledger.
+
+    The latest delivery of an id inserts it, deletes it or changes its parent.
+    """
+    item, pending = table(spark, d, "item", "id", "parent"), table(spark, d, "pending", "id", "parent")
+    feed = table(spark, d, "hnitem", "id", "parent", "deleted", "fetched_at", "seq")
+    latest = feed.groupBy("id").agg(F.max_by(F.struct("parent", "deleted"), F.struct("fetched_at", "seq")).alias("r")).select("id", "r.*")
+    after = references.apply_deltas(_ledger(item, pending), references.change_deltas(item, latest))
+    return after.join(references.orphan_keys(after), "ref_key", "left_semi").select("ref_key", "refs")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "hnitem", "seq", "shard", "id", "fetched_at", *CONTENT)
     runs = table(spark, d, "run_log", "id", "shard", "ended_at", "head_pos", "status")
     source = incremental.latest_version(feed, ["shard", "id"], ["fetched_at", "seq"], CONTENT)
-    target = incremental.published_at_last_run(feed, runs, CONTENT)
-    return incremental.changed(source, target, ["shard", "id"]).select("shard", "id")
+    target = incremental.VersionedTarget(spark, Scratch(spark, "target").root, ["shard", "id"])
+    target.publish(incremental.published_at_last_run(feed, runs, CONTENT))
+    return target.pending(source).select("shard", "id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +110,7 @@ def p6_thread_span(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("root_id").agg(F.count("*").alias("n_rows"), F.max("lag").alias("max_lag"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_tree, p4_intervals, p4_paths, p6_found, p6_threads, p6_thread_span)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_after_feed, p3_found, p4_found, p4_tree, p4_intervals, p4_paths, p6_found, p6_threads, p6_thread_span)}
 
 _ORPHANS = """
 WITH refs AS (SELECT 'item' AS src, id, parent, ts FROM item UNION ALL SELECT 'pending', id, parent, ts FROM pending),
@@ -119,6 +136,12 @@ _UP = """, up AS (SELECT id, parent AS above FROM n WHERE parent IN (SELECT id F
 ORACLE = {
     "p2_found": _ORPHANS + "SELECT DISTINCT src, id FROM lost",
     "p2_report": _ORPHANS + "SELECT src, strftime(make_timestamp(ts * 1000000), '%Y-%m') AS month, count(DISTINCT id) AS n_records, count(DISTINCT parent) AS n_missing FROM lost GROUP BY 1, 2",
+    "p2_after_feed": """
+WITH f AS (SELECT id, parent, coalesce(deleted, false) AS gone FROM hnitem WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, seq DESC) = 1),
+now AS (SELECT i.id, CASE WHEN f.id IS NULL THEN i.parent ELSE f.parent END AS parent FROM item i LEFT JOIN f ON i.id = f.id WHERE NOT coalesce(f.gone, false)
+  UNION ALL SELECT id, parent FROM f WHERE NOT gone AND id NOT IN (SELECT id FROM item WHERE id IS NOT NULL)),
+refs AS (SELECT parent FROM now UNION ALL SELECT parent FROM pending)
+SELECT parent AS ref_key, count(*) AS refs FROM refs WHERE parent IS NOT NULL AND parent <> 0 AND parent NOT IN (SELECT id FROM now WHERE id IS NOT NULL) GROUP BY parent""",
     "p3_found": """
 WITH good AS (SELECT shard, max(id) AS rid FROM run_log WHERE status = 'ok' GROUP BY shard),
 run AS (SELECT DISTINCT r.shard, r.head_pos, r.ended_at FROM run_log r JOIN good g ON r.shard = g.shard AND r.id = g.rid AND r.status = 'ok'),

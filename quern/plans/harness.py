@@ -83,8 +83,14 @@ class TwoStageEngine(VectorEngine):
 
     name = "two-stage"
 
+    def build(self, base: DataFrame) -> None:
+        """Stores the codes beside the vectors; searches only scan them."""
+        self.base = base
+        self.centre = S.rotated_centroid(base, self.dim)
+        self.codes = S.build_codes(base, self.dim, self.centre)
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return S.two_stage_knn(self.base, queries, self.dim, k, max(k, self.param))
+        return S.search_codes(self.codes, queries, self.dim, self.centre, k, max(k, self.param))
 
 
 class GraphEngine(VectorEngine):
@@ -165,6 +171,16 @@ def window(engine: VectorEngine, queries: DataFrame, k: int, concurrency: int, s
     return done / (time.monotonic() - began), times
 
 
+def memory_mb(spark: SparkSession) -> float:
+    """Memory in use: the heap of the driver's JVM, and the resident set of this Python process."""
+    r = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    pages = 0
+    if os.path.exists("/proc/self/statm"):
+        with open("/proc/self/statm") as f:
+            pages = int(f.read().split()[1])
+    return (r.totalMemory() - r.freeMemory() + pages * os.sysconf("SC_PAGE_SIZE")) / (1 << 20)
+
+
 def run_protocol(engine: VectorEngine, base: DataFrame, queries: DataFrame, k: int = 10, sweep: tuple[int, ...] = (64, 128), concurrency: tuple[int, ...] = (1,), seconds: float = 3.0, dataset: str = "", truth: DataFrame | None = None, path: str = "/tmp") -> list[dict]:
     """One row per setting and concurrency."""
     spark = base.sparkSession
@@ -179,7 +195,7 @@ def run_protocol(engine: VectorEngine, base: DataFrame, queries: DataFrame, k: i
         mean, low = recalls(engine.search(queries, k), truth, k)
         for c in concurrency:
             qps, times = window(engine, queries, k, c, seconds)
-            out.append({"engine": engine.name, "dataset": dataset, "param": str(value), "mode": engine.mode, "medium": storage_medium(path), "n": n, "dim": engine.dim, "k": k, "concurrency": c, "build_s": build_s, "insert_qps": n / build_s if build_s else 0.0, "recall_mean": mean, "recall_min": low, "qps": qps, "p50_ms": percentile_linear(times, 0.5), "p99_ms": percentile_linear(times, 0.99), "mem_mb": 0.0})
+            out.append({"engine": engine.name, "dataset": dataset, "param": str(value), "mode": engine.mode, "medium": storage_medium(path), "n": n, "dim": engine.dim, "k": k, "concurrency": c, "build_s": build_s, "insert_qps": n / build_s if build_s else 0.0, "recall_mean": mean, "recall_min": low, "qps": qps, "p50_ms": percentile_linear(times, 0.5), "p99_ms": percentile_linear(times, 0.99), "mem_mb": memory_mb(spark)})
     truth.unpersist()
     engine.close()
     return out

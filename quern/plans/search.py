@@ -288,12 +288,12 @@ def recall_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bitbudget_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the extended codes alone at 1, 2, 4 and 8 bits, with the bytes a vector takes."""
+    """Recall of the extended codes alone at 1 to 8 bits, with the bytes a vector takes."""
     base = _vectors(spark, d)
     q = _queries(base)
     want = S.exact_knn(base, q, DIM, K).select("qid", "vec_id")
     rows = None
-    for bits in (1, 2, 4, 8):
+    for bits in range(1, 9):
         got = S.quantised_knn(base, q, DIM, bits, K, extended=True).select(F.col("qid").alias("q_q"), F.col("vec_id").alias("q_v"))
         hit = want.join(got, (F.col("qid") == F.col("q_q")) & (F.col("vec_id") == F.col("q_v")), "left")
         one = hit.groupBy("qid").agg((F.count("q_v") / F.count("*")).alias("recall"))
@@ -330,7 +330,7 @@ _A = "CASE WHEN list_max(list_transform({x}, lambda y: abs(y))) = 0 THEN 1e-9 EL
 _COARSE = f"""
 , qx AS (SELECT vec_id AS qid, x AS qx, sq AS qsq FROM code WHERE vec_id % 100 = 0)
 , est AS (SELECT qid, vec_id, CASE WHEN l1 = 0 THEN sq ELSE qsq + sq - 2 * sq * {_DOT.format(a='qx', b=_BITS)} / l1 END AS est FROM qx JOIN code ON qid <> vec_id)
-, coarse AS (SELECT qid, vec_id FROM est QUALIFY row_number() OVER (PARTITION BY qid ORDER BY est, vec_id) <= 64)
+, coarse AS (SELECT qid, vec_id FROM est QUALIFY row_number() OVER (PARTITION BY qid ORDER BY est, vec_id) <= 256)
 , fine AS (SELECT p.qid, p.vec_id, p.d2, row_number() OVER (PARTITION BY p.qid ORDER BY p.d2, p.vec_id) AS rank FROM pairs p JOIN coarse c ON p.qid = c.qid AND p.vec_id = c.vec_id)"""
 _ENDS = "round(u[1], 9) AS first, round(u[{n}], 9) AS last, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm"
 _KNN = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id)::INTEGER AS rank, vec_id, d2 FROM pairs QUALIFY rank <= 10"
@@ -339,7 +339,7 @@ _EXT = "list_transform(" + _LEVELS + ", lambda y: 2 * y - {top})"
 
 def _budget() -> str:
     parts = []
-    for bits in (1, 2, 4, 8):
+    for bits in range(1, 9):
         top = (1 << bits) - 1
         parts.append(f"""SELECT {bits} AS bits, qid, vec_id, CASE WHEN g = 0 THEN sq ELSE qsq + sq - 2 * {_DOT.format(a='qx', b='o')} * sq / g END AS est
   FROM (SELECT *, {_DOT.format(a='o', b='x')} AS g FROM (SELECT *, {_EXT.format(x='x', a='a', top=top)} AS o FROM (SELECT *, {_A.format(x='x')} AS a FROM code))) JOIN qx ON qid <> vec_id""")
@@ -359,6 +359,8 @@ ORACLE = {
     "normalize": "WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM dataset_base WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x)))), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e), u AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN n = 0 THEN x ELSE x / n END) AS u FROM n) SELECT vec_id, " + _ENDS.format(n=64) + " FROM u",
     "mrl_truncate": "WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e), u AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM n) SELECT vec_id, " + _ENDS.format(n=32) + " FROM u",
     "pattern_vectors": "SELECT vec_id, ((vec_id * 7) % 2048)::INTEGER AS first, ((vec_id * 7 + 63 * 13) % 2048)::INTEGER AS last, list_sum(list_transform(range(0, 64), lambda i: (vec_id * 7 + i * 13) % 2048))::BIGINT AS total FROM embeddings",
+    "fp16_roundtrip": _E + f""", h AS (SELECT vec_id, v, list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END) AS w FROM e)
+SELECT vec_id, list_max(list_transform(list_zip(v, w), lambda p: abs(p[1] - p[2]))) AS max_error, {_SQ.format(a='v', b='w')} AS d2 FROM h""",
     "hadamard_rotate": _E + _ROT + " SELECT vec_id, round(r[1], 9) AS c0, round(r[2], 9) AS c1, round(r[64], 9) AS c63, round(list_sum(list_transform(r, lambda y: abs(y))), 6) AS l1 FROM rot",
     "rabitq_encode": _E + _ROT + _CEN + " SELECT vec_id, array_to_string(list_transform(x, lambda y: CASE WHEN y >= 0 THEN '1' ELSE '0' END), '') AS code, round(sq, 6) AS sq_norm, round(l1, 6) AS l1 FROM code",
     "rabitq_estimate": _E + _ROT + _CEN + _FX + f" SELECT vec_id, round(CASE WHEN l1 = 0 THEN sq ELSE fsq + sq - 2 * sq * {_DOT.format(a='fx', b=_BITS)} / l1 END, 6) AS est FROM code, f",
@@ -373,7 +375,7 @@ ORACLE = {
     "exact_knn_heap": _PAIRS + _KNN,
     "two_stage_knn": _PAIRS + _ROT + _CEN + _COARSE + " SELECT qid, rank::INTEGER AS rank, vec_id, d2 FROM fine WHERE rank <= 10",
     "two_tier_knn": _PAIRS + _KNN,
-    "knn_graph": _E + f", p AS (SELECT a.vec_id AS node, b.vec_id AS nbr, {_SQ.format(a='a.v', b='b.v')} AS d2 FROM e a JOIN e b ON a.vec_id // 512 = b.vec_id // 512 AND a.vec_id <> b.vec_id) SELECT node, row_number() OVER (PARTITION BY node ORDER BY d2, nbr)::INTEGER AS slot, nbr FROM p QUALIFY slot <= 8",
+    "knn_graph": _E + f", p AS (SELECT a.vec_id AS node, b.vec_id AS nbr, {_SQ.format(a='a.v', b='b.v')} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id) SELECT node, row_number() OVER (PARTITION BY node ORDER BY d2, nbr)::INTEGER AS slot, nbr FROM p QUALIFY slot <= 8",
     "federated_merge": _PAIRS + """, m AS (SELECT vec_id AS id, 's' || (label % 3) AS shard FROM embeddings UNION ALL SELECT vec_id, 'again' FROM embeddings WHERE label IN (0, 1)),
 hits AS (SELECT qid, shard, vec_id, d2 FROM pairs JOIN m ON vec_id = id QUALIFY row_number() OVER (PARTITION BY qid, shard ORDER BY d2, vec_id) <= 10),
 once AS (SELECT qid, vec_id::VARCHAR AS ext_id, min(d2) AS d2 FROM hits GROUP BY 1, 2)

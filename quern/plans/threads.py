@@ -20,6 +20,8 @@ DIM, K = 96, 10
 K_RAW = 300
 #: Documents of a shard that the lexical stage keeps, as in the reference.
 BM25_LIMIT = 200
+#: Bytes of a text that are embedded.
+TEXT_BYTES = 24_000
 
 
 # --- loads, lookups, upserts ------------------------------------------------------------------
@@ -106,15 +108,17 @@ def parent_self_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trees(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.stored_fields(hierarchy.build_trees(table(spark, d, "item", "id", "parent")))
+    """Right tree fields of the items, from the kept table of trees."""
+    return hierarchy.stored_fields(hierarchy.kept_trees(table(spark, d, "item", "id", "parent")))
 
 
 def tree_backfill(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).select("id", "root_id", "depth", "orphan")
+    trees = hierarchy.stored_fields(hierarchy.build_trees(table(spark, d, "item", "id", "parent")))
+    return trees.select("id", "root_id", "depth", "orphan")
 
 
 def append_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    return T.resolve_pending(table(spark, d, "item", "id", "parent"), table(spark, d, "pending", "id", "parent"))
+    return T.resolve_pending(_trees(spark, d), table(spark, d, "pending", "id", "parent"))
 
 
 def thread_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +228,7 @@ def text_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def utf8_truncate(spark: SparkSession, d: str) -> DataFrame:
-    cut = text.utf8_cut(F.col("text"), 1000)
+    cut = text.utf8_cut(F.col("text"), TEXT_BYTES)
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.octet_length(cut).alias("n_bytes"), F.md5(cut).alias("digest"))
 
 
@@ -342,18 +346,19 @@ _HITS = _TREE + _WANT + """, e AS (SELECT DISTINCT item_id AS vec_id, embedding
   AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))), true))
 , v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM e)
 , hits AS (SELECT a.vec_id AS qid, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
-  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d2, b.vec_id) <= 50)
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d2, b.vec_id) <= 300)
 , th AS (SELECT qid, root_id, round(1 + 0.1 * ln(sum(exp((exp(-d2 / 0.1) - 1) / 0.1))), 9) AS score, count(*) AS n_hits,
   coalesce(string_agg(vec_id || ':' || depth, ' ' ORDER BY depth, vec_id) FILTER (WHERE vec_id <> root_id), '') AS hits FROM hits JOIN want ON vec_id = id GROUP BY 1, 2)
 , o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, root_id::VARCHAR)::INTEGER AS pos FROM th)
 , roots AS (SELECT id, min(title) AS title, min(ts) AS ts FROM item GROUP BY id)
 , titled AS (SELECT o.*, coalesce(r.title, '') AS title, coalesce(""" + _DATE.format(ts="r.ts") + """, '') AS date, CASE WHEN r.ts > 0 THEN make_timestamp(r.ts * 1000000)::DATE END AS day FROM o LEFT JOIN roots r ON o.root_id = r.id)
 """
-_BM25 = r"""
-WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+# the same letters without their marks on both sides, and marks of their own
+_TERMS = rf"""regexp_extract_all(regexp_replace(translate(lower({{}}), '{lexical._MARKED}', '{lexical._PLAIN}'), '[\x{{{{0300}}}}-\x{{{{036f}}}}]', '', 'g'), '[\p{{{{L}}}}\p{{{{N}}}}]+')"""
+_BM25 = "WITH w AS (SELECT doc_id, lang, " + _TERMS.format("concat_ws(chr(10), title, text)") + r""" AS ws FROM documents),
 p AS (SELECT lang, doc_id, len(ws) AS dl, unnest(ws) AS term FROM w), post AS (SELECT lang, doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 st AS (SELECT lang, count(*) AS n, avg(len(ws)) AS avgdl FROM w WHERE len(ws) > 0 GROUP BY lang), df AS (SELECT lang, term, count(*) AS df FROM post GROUP BY ALL),
-asked AS (SELECT DISTINCT doc_id AS qid, unnest(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}]+')) AS term FROM documents WHERE doc_id % 100 = 0),
+asked AS (SELECT DISTINCT doc_id AS qid, unnest(""" + _TERMS.format("coalesce(title, '')") + r""") AS term FROM documents WHERE doc_id % 100 = 0),
 sc AS (SELECT a.qid, p.lang AS shard, p.doc_id, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avgdl))), 6) AS score
   FROM asked a JOIN post p ON a.term = p.term JOIN st s ON p.lang IS NOT DISTINCT FROM s.lang JOIN df d ON d.term = p.term AND d.lang IS NOT DISTINCT FROM p.lang WHERE a.qid <> p.doc_id GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid, shard ORDER BY score DESC, doc_id)::INTEGER AS rank FROM sc)
@@ -397,14 +402,22 @@ SELECT p.id, coalesce(r.state, 'pending') AS state, r.root_id, r.depth::INTEGER
     "sort_oldest": _HITS + "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY day ASC NULLS LAST, pos)::INTEGER AS day_pos, root_id FROM titled",
     "page_threads": _HITS + ", c AS (SELECT *, least(1, greatest(1, ceil(count(*) OVER (PARTITION BY qid) / 10)) - 1) AS page FROM o) SELECT qid, pos, root_id FROM c WHERE pos > page * 10 AND pos <= (page + 1) * 10",
     "bm25_topn": _BM25 + "SELECT qid, shard, rank, doc_id, score FROM rk WHERE rank <= 10",
-    "hybrid_knn": _BM25 + """, c AS (SELECT DISTINCT qid, doc_id FROM rk WHERE rank <= 50), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    "hybrid_knn": _BM25 + """, c AS (SELECT DISTINCT qid, doc_id FROM rk WHERE rank <= 200), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 d AS (SELECT c.qid, c.doc_id AS vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM c JOIN e a ON c.qid = a.vec_id JOIN e b ON c.doc_id = b.vec_id)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id)::INTEGER AS rank, vec_id, d2 FROM d QUALIFY rank <= 10""",
-    "scope_ratio": _BM25 + "SELECT qid, count(DISTINCT doc_id) AS n_candidates, round(count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 9) AS ratio FROM rk WHERE rank <= 50 GROUP BY qid",
+    "scope_ratio": _BM25 + "SELECT qid, count(DISTINCT doc_id) AS n_candidates, round(count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 9) AS ratio FROM rk WHERE rank <= 200 GROUP BY qid",
     "embed_text": "SELECT doc_id, md5(coalesce(nullif(text, ''), title)) AS digest FROM documents",
     "title_snippet": "SELECT doc_id, CASE WHEN length(text) > 160 THEN substring(text, 1, 160) || '…' ELSE text END AS snippet FROM documents",
     "html_to_text": f"SELECT seq, md5({_CLEAN}) AS digest FROM hnitem",
     "text_snippet": f"SELECT seq, CASE WHEN length(c) > 140 THEN substring(c, 1, 140) || '…' ELSE c END AS snippet FROM (SELECT seq, {_CLEAN} AS c FROM hnitem)",
+    "utf8_truncate": f"""WITH c AS (SELECT doc_id, CASE WHEN strlen(text) <= {TEXT_BYTES} THEN text
+  ELSE substring(text, 1, (SELECT max(i) FROM range({TEXT_BYTES // 4}, least(length(text), {TEXT_BYTES}) + 1) t(i) WHERE strlen(substring(text, 1, i)) <= {TEXT_BYTES})) END AS cut FROM documents)
+SELECT doc_id, strlen(cut)::INTEGER AS n_bytes, md5(cut) AS digest FROM c""",
+    "rate_limit_replay": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT user_id, rn, t, 4.0::DOUBLE AS tokens, 1 AS yes FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, t, CASE WHEN has >= 1 THEN has - 1 ELSE has END, CASE WHEN has >= 1 THEN 1 ELSE 0 END
+  FROM (SELECT e.user_id, e.rn, e.t, least(5.0::DOUBLE, b.tokens + (e.t - b.t) / 60e6::DOUBLE) AS has FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1))
+SELECT user_id, sum(yes)::BIGINT AS n_allowed, (count(*) - sum(yes))::BIGINT AS n_refused FROM b GROUP BY user_id""",
     "item_date": f"SELECT DISTINCT id, coalesce({_DATE.format(ts='ts')}, '') AS date FROM item",
     "date_back": "SELECT strftime(day, '%Y-%m') AS month, count(day) AS n_days FROM (SELECT DISTINCT CASE WHEN ts > 0 THEN make_timestamp(ts * 1000000)::DATE END AS day FROM item) GROUP BY 1",
     "id_codec": "SELECT DISTINCT id, array_to_string(list_transform(range(0, 8), lambda i: lpad(to_hex((id >> (8 * i)) & 255), 2, '0')), '').lower() AS bytes, id AS back FROM item",

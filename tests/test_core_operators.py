@@ -243,3 +243,41 @@ def test_fragment_replicate_join_equals_join(spark, rows):
 def test_skew_of_an_empty_table(spark, rows):
     df = spark.createDataFrame([], "root_id long, ts long")
     assert rows(skew.aggregate_by_key(df, "root_id", [("ts", "min", "lo")])) == []
+
+
+# --- kept states ------------------------------------------------------------------------------
+
+
+def test_versions_are_claimed_once_and_parts_compacted(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(incremental, "COMPACT_PARTS", 3)
+    target = incremental.VersionedTarget(spark, f"file://{tmp_path}/t", ["id"])
+    for i in range(5):
+        assert target.publish(spark.createDataFrame([(i, f"v{i}"), (99, f"v{i}")], "id long, version string")) == i + 1
+    assert len(target.manifest()["parts"]) < 4
+    assert rows(target.read()) == [(0, "v0"), (1, "v1"), (2, "v2"), (3, "v3"), (4, "v4"), (99, "v4")]
+    assert target._claim(5) == 6
+    with pytest.raises(RuntimeError):  # a run that is between its claim and its manifest
+        target.publish(spark.createDataFrame([(7, "x")], "id long, version string"))
+    assert target.versions() == [1, 2, 3, 4, 5]
+    monkeypatch.setattr(incremental, "CLAIM_SECONDS", -1)
+    assert target.publish(spark.createDataFrame([(7, "x")], "id long, version string")) == 6
+
+
+def test_ledger_after_changes_equals_a_recount(spark, rows):
+    item = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 9), (4, 2), (5, None), (6, 4)], "id long, parent long")
+    latest = spark.createDataFrame([(2, 1, True), (3, 8, False), (7, 6, None), (8, 0, False), (11, 1, True), (None, 3, False), (6, 4, False)], "id long, parent long, deleted boolean")
+    kept = references.apply_deltas(None, [references.existence_deltas(item, "id"), references.reference_deltas(item, "parent")])
+    after = references.apply_deltas(kept, references.change_deltas(item, latest))
+    now = spark.createDataFrame([(1, 0), (3, 8), (4, 2), (5, None), (6, 4), (7, 6), (8, 0)], "id long, parent long")
+    again = references.apply_deltas(None, [references.existence_deltas(now, "id"), references.reference_deltas(now, "parent")])
+    assert rows(after) == rows(again)
+    assert rows(references.orphan_keys(after)) == [(2,)]
+
+
+def test_kept_trees_follow_their_files(spark, tmp_path, rows):
+    path = f"{tmp_path}/item.parquet"
+    spark.createDataFrame([(1, 0), (2, 1)], "id long, parent long").write.parquet(path)
+    one = hierarchy.kept_trees(spark.read.parquet(path))
+    assert rows(one, "id", "tree_id") == [(1, 1), (2, 1)] and hierarchy.kept_trees(spark.read.parquet(path)).inputFiles() == one.inputFiles()
+    spark.createDataFrame([(3, 2)], "id long, parent long").write.mode("append").parquet(path)
+    assert rows(hierarchy.kept_trees(spark.read.parquet(path)), "id", "level") == [(1, 0), (2, 1), (3, 2)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import kernels, net, text
 from quern.functions import vector as V
-from quern.operators import lexical, percentile
+from quern.operators import hierarchy, lexical, percentile
 from quern.operators import search as S
 from quern.operators import threads as T
 from quern.plans import harness, settings
@@ -143,14 +143,14 @@ def by_sql(sql, *changes, d="/root/testdata/sf0.01"):
 def test_threads_are_made_of_all_raw_hits(spark, rows):
     from quern.plans import threads
 
-    want = by_sql(threads.ORACLE["thread_order"], ("<= 50)", "<= 300)"))
+    want = by_sql(threads.ORACLE["thread_order"])
     assert rows(threads.thread_order(spark, "/root/testdata/sf0.01")) == sorted(want)
 
 
 def test_pending_chains_resolve_whatever_their_order(spark, rows):
     items = spark.createDataFrame([(1, 0), (2, 1), (3, 99)], "id long, parent long")
     pending = spark.createDataFrame([(12, 11), (11, 10), (10, 2), (20, 3), (21, 20), (30, 98), (31, 30), (40, 41), (41, 40), (2, 1), (50, None)], "id long, parent long")
-    assert rows(T.resolve_pending(items, pending)) == [
+    assert rows(T.resolve_pending(hierarchy.stored_fields(hierarchy.build_trees(items)), pending)) == [
         (10, "appended", 1, 2, 0), (11, "appended", 1, 3, 0), (12, "appended", 1, 4, 0), (20, "appended", 20, 0, 1), (21, "appended", 21, 0, 1),
         (30, "pending", None, None, None), (31, "pending", None, None, None), (40, "pending", None, None, None), (41, "pending", None, None, None), (50, "appended", 50, 0, 0),
     ]
@@ -184,17 +184,28 @@ def test_bm25_folds_accents_on_both_sides(spark, rows):
 def test_lexical_stage_keeps_200_of_titles_and_texts(spark, rows):
     from quern.plans import threads
 
-    both = "strip_accents(lower(concat_ws(chr(10), title, text)))"
-    want = by_sql(threads.ORACLE["scope_ratio"], ("lower(coalesce(text, ''))", both), ("lower(coalesce(title, ''))", "strip_accents(lower(coalesce(title, '')))"), ("<= 50", "<= 200"))
+    want = by_sql(threads.ORACLE["scope_ratio"])
     got = rows(threads.scope_ratio(spark, "/root/testdata/sf0.01"))
     assert [r[:2] for r in got] == sorted(r[:2] for r in want)
 
 
-def test_two_stages_keep_128_candidates(spark, rows):
+def test_two_stages_keep_their_candidates_and_find_most(spark, rows):
     from quern.plans import search
 
-    want = by_sql(search.ORACLE["recall_summary"], ("<= 64)", "<= 128)"))
-    assert rows(search.recall_summary(spark, "/root/testdata/sf0.01")) == want
+    assert S.CANDIDATES >= 128
+    assert rows(search.recall_summary(spark, "/root/testdata/sf0.01")) == by_sql(search.ORACLE["recall_summary"])
+    assert search.recall_summary(spark, "/root/testdata/sf0.1").first().recall_mean >= 0.9
+
+
+def test_search_keeps_k_per_query_over_many_batches():
+    rng = np.random.default_rng(3)
+    parts = [[np.repeat(np.arange(5), 7), rng.integers(0, 99, 35), rng.integers(0, 6, 35).astype(float)] for _ in range(9)]
+    kept = None
+    for part in parts:
+        kept = S._merged(kept, part, 4) if kept else S._merged(part, [x[:0] for x in part], 4)
+    for q in range(5):
+        every = sorted((d, i) for p in parts for a, i, d in zip(*p) if a == q)[:4]
+        assert [(d, i) for a, i, d in zip(*kept) if a == q] == every
 
 
 @pytest.mark.parametrize("raw, want", [("<p>a</P>b &amp;lt; &lt;c&gt;", "a\n\nb &lt; <c>"), (" x<i>y</i>\n ", "xy"), ("", ""), (None, None)])

@@ -186,3 +186,42 @@ def test_token_bucket(spark, rows, tmp_path):
     q.awaitTermination(60)
     q.stop()
     assert rows(spark.table("limited").groupBy("ip").agg(F.count_if("allowed").alias("n")), "ip", "n") == [("a", 6), ("b", 1)]
+
+
+def test_cycles_take_the_head_and_then_the_backfill(spark, rows, tmp_path):
+    def fetch(i):
+        if i == 4:
+            return None
+        return (i, "story", i, f"t{i}", f"text {i}", 0, i == 6, False)
+
+    job = ingest.Ingest(spark, str(tmp_path / "out"), _embed, 2)
+    assert job.cycle(8, fetch, backfill_budget="3", per_batch=2) == {"head": 8, "head_origin": 8, "backfill": 3}
+    assert rows(job.items.read(), "id") == [(1,), (2,), (3,)]
+    assert job.cycle(10, fetch, head_budget="1", backfill_budget="0s") == {"head": 9, "head_origin": 8, "backfill": 3}
+    assert job.cycle(10, fetch, per_batch=3) == {"head": 10, "head_origin": 8, "backfill": 8}
+    assert rows(job.live(), "id") == [(i,) for i in (1, 2, 3, 5, 7, 8, 9, 10)]
+    log = spark.read.parquet(str(tmp_path / "out" / "runs"))
+    assert rows(log.groupBy("phase").agg(F.sum("ingested").alias("n"), F.max("pos").alias("p")), "phase", "n", "p") == [("backfill", 6, 8), ("head", 2, 10)]
+
+    def broken(i):
+        if i == 12:
+            raise RuntimeError("feed down")
+        return fetch(i)
+
+    with pytest.raises(Exception):
+        job.cycle(13, broken, per_batch=1)
+    assert job.cursors()["head"] == 11
+    assert job.cycle(13, fetch)["head"] == 13 and rows(job.live(), "id")[-3:] == [(11,), (12,), (13,)]
+
+
+def test_the_later_delivery_counts_and_deletions_reach_the_target(spark, rows, tmp_path):
+    job = ingest.Ingest(spark, str(tmp_path / "out"), _embed, 2)
+    schema = f"{ingest.FEED}, fetched_at timestamp, seq bigint"
+    one = lambda i, text, at, seq, deleted=False: (i, "story", 5, "t", text, 0, False, deleted, at, seq)
+    import datetime as dt
+
+    t = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 4)]
+    job.batch(spark.createDataFrame([one(1, "new", t[1], 1), one(1, "old", t[0], 2), one(2, "x", t[1], 3), one(3, "gone", t[1], 4), one(3, "gone", t[2], 5, True)], schema), 1)
+    assert rows(job.live(), "id", "text") == [(1, "new"), (2, "x")]
+    job.batch(spark.createDataFrame([one(1, "older", t[0], 6), one(2, "x", t[3], 7, True)], schema), 2)
+    assert rows(job.live(), "id", "text") == [(1, "new")] and rows(job.items.read(), "id") == [(1,), (2,)]
