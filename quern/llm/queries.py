@@ -114,7 +114,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_wrappers(spark: SparkSession, d: str) -> DataFrame:
-    """Per host (shard of the feed, type of the store): sampled trees, nodes of the wrapper and constant texts among them."""
+    """Per host (shard of the feed, type of the store): all trees, nodes of the wrapper that the parts hand on and constant texts among them."""
     rows = None
     for name, key, host in (("item", "id", "type"), ("hnitem", "seq", "shard")):
         found = wrapper.wrappers(table(spark, d, name, key, "text", host), key, "text", host)
