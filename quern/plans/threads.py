@@ -182,27 +182,27 @@ def page_threads(spark: SparkSession, d: str) -> DataFrame:
 # --- lexical and hybrid search ----------------------------------------------------------------
 
 
-def _bm25(spark: SparkSession, d: str, n: int) -> DataFrame:
+def _lexical(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents, and those of them whose titles are the queries."""
     docs = table(spark, d, "documents", "doc_id", "text", "lang", "title")
     asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "title")
-    docs = docs.select("doc_id", "lang", F.concat_ws("\n", "title", "text").alias("q_text"))
-    return lexical.bm25(docs, asked, "doc_id", "lang", "q_text", "title", n)
+    return docs.select("doc_id", "lang", F.concat_ws("\n", "title", "text").alias("q_text")), asked
 
 
 def bm25_topn(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d, 10).select("qid", "shard", "rank", "doc_id", "score")
+    return lexical.bm25(*_lexical(spark, d), "doc_id", "lang", "q_text", "title", 10).select("qid", "shard", "rank", "doc_id", "score")
 
 
 def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
     """Lexical candidates of all shards, reordered by exact distance; documents without a vector drop out."""
     base = S.valid(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 64)
-    cand = _bm25(spark, d, BM25_LIMIT).select("qid", F.col("doc_id").alias("vec_id")).distinct()
+    cand = lexical.bm25(*_lexical(spark, d), "doc_id", "lang", "q_text", "title", BM25_LIMIT).select("qid", F.col("doc_id").alias("vec_id")).distinct()
     return S.rerank(cand, base, base.where(F.col("vec_id") % 100 == 0), K)
 
 
 def scope_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Part of all documents that the lexical stage leaves for reordering, per query."""
-    cand = _bm25(spark, d, BM25_LIMIT).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_candidates"))
+    cand = lexical.bm25(*_lexical(spark, d), "doc_id", "lang", "q_text", "title", BM25_LIMIT).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_candidates"))
     total = table(spark, d, "documents", "doc_id").agg(F.count("*")).scalar()
     return cand.select("qid", "n_candidates", F.round(F.col("n_candidates") / total, 9).alias("ratio"))
 

@@ -287,3 +287,28 @@ def test_plans_push_filters_and_columns(spark):
     assert "IsNotNull(title)" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
     plan = core.p2_found(spark, d)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "text" not in plan
+
+
+def test_bm25_equals_sql_on_odd_documents_in_any_division_and_shuffles_no_score(spark, rows, tmp_path, monkeypatch):
+    """Repeated and missing ids, one id in two shards, equal scores, empty texts; several passes, slices and blocks."""
+    import duckdb
+
+    from quern.plans import threads
+
+    rng = np.random.default_rng(3)
+    pick = lambda n: " ".join(rng.choice(["the", "cache", "slow", "é", "x7", "node", "日本", *map(str, range(20))], n))
+    docs = [(int(i), pick(rng.integers(0, 9)), ["en", "fr", None][i % 3], pick(rng.integers(0, 40)) if i % 300 else None) for i in range(1201)]
+    docs += [(100, "cache the", "en", docs[100][3]), (100, "cache", "fr", docs[100][3]), (100, docs[100][1], docs[100][2], docs[100][3]), (200, None, None, "node slow"), (None, "the cache", "en", "x7"), (None, "the cache", "en", "x7"), (7, "!?", "de", "")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(0, 900, 2)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {q: sorted((tuple(r) for r in con.execute(threads.ORACLE[q]).fetchall()), key=str) for q in ("bm25_topn", "hybrid_knn", "scope_ratio")}
+    same = lambda q: sorted((tuple(r) for r in getattr(threads, q)(spark, str(tmp_path)).collect()), key=str) == want[q]
+    assert want["bm25_topn"] and same("bm25_topn")
+    for name, value in {"WORDS": 64, "PAIRS": 40, "KEPT_BYTES": 20_000, "BLOCK": 50, "SLICES": 2}.items():
+        monkeypatch.setattr(lexical, name, value)
+    assert same("bm25_topn") and same("hybrid_knn") and same("scope_ratio")
+    plan = threads.bm25_topn(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
