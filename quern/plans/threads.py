@@ -194,10 +194,12 @@ def bm25_topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical candidates of all shards, reordered by exact distance; documents without a vector drop out."""
+    """Lexical candidates of all shards, reordered by exact distance; queries and documents without a vector drop out."""
     base = S.valid(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 64)
-    cand = lexical.bm25(*_lexical(spark, d), "doc_id", "lang", "q_text", "title", BM25_LIMIT).select("qid", F.col("doc_id").alias("vec_id")).distinct()
-    return S.rerank(cand, base, base.where(F.col("vec_id") % 100 == 0), K)
+    docs, asked = _lexical(spark, d)
+    asked = asked.join(base.select("vec_id"), F.col("qid") == F.col("vec_id"), "left_semi")
+    cand = lexical.candidates(docs, asked, "doc_id", "lang", "q_text", "title", BM25_LIMIT)
+    return S.rerank(cand.withColumnRenamed("doc_id", "vec_id"), base, base.where(F.col("vec_id") % 100 == 0), K)
 
 
 def scope_ratio(spark: SparkSession, d: str) -> DataFrame:
