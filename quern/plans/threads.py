@@ -204,7 +204,8 @@ def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def scope_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Part of all documents that the lexical stage leaves for reordering, per query."""
-    cand = lexical.bm25(*_lexical(spark, d), "doc_id", "lang", "q_text", "title", BM25_LIMIT).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_candidates"))
+    cand = lexical.candidates(*_lexical(spark, d), "doc_id", "lang", "q_text", "title", BM25_LIMIT)
+    cand = cand.groupBy("qid").agg(F.count("*").alias("n_candidates"))
     total = table(spark, d, "documents", "doc_id").agg(F.count("*")).scalar()
     return cand.select("qid", "n_candidates", F.round(F.col("n_candidates") / total, 9).alias("ratio"))
 
